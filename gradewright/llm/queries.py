@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradewright.llm.consolidate import consolidate, draft_matches
+from gradewright.llm.neardup import NearDuplicates
 from gradewright.llm.spans import SharedSpans
 from gradewright.llm.sql import SQL
 from gradewright.operators.hierarchy import latest_rows
@@ -37,6 +38,22 @@ def p1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SharedSpans(_records(spark, sf_dir)).passages()
 
 
+def _near(spark: SparkSession, sf_dir: str) -> NearDuplicates:
+    parts = [("questions", "question_id", "stem"), ("extra_caselets_1mark", "caselet_id", "scenario")]
+    rows = [read(spark, sf_dir, t).select(F.lit(t).alias("scope"), F.col(k).alias("id"), F.col(c).alias("text")) for t, k, c in parts]
+    return NearDuplicates(reduce(DataFrame.unionByName, rows))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of stems and of scenarios with a similarity of 0.6 or more."""
+    return _near(spark, sf_dir).pairs().withColumnRenamed("scope", "rec_table")
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group and number of links of every stem and scenario."""
+    return _near(spark, sf_dir).groups().withColumnsRenamed({"scope": "rec_table", "id": "rec_id"})
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of every concept draft that matches another, directly or through others."""
     drafts = latest_rows(
@@ -48,4 +65,4 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 __all__ = ["QUERIES", "SQL"]
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_share, p1_passages, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_share, p1_passages, p4_found, p4_groups, p5_found)}

@@ -24,6 +24,25 @@ WITH rec AS (
 )
 """
 
+_P4 = r"""
+WITH RECURSIVE rec AS (
+  SELECT 'questions' AS rec_table, question_id AS id, min(stem) AS text FROM questions WHERE stem IS NOT NULL GROUP BY question_id
+  UNION ALL SELECT 'extra_caselets_1mark', caselet_id, min(scenario) FROM extra_caselets_1mark WHERE scenario IS NOT NULL GROUP BY caselet_id
+), w AS (SELECT rec_table, id, regexp_extract_all(lower(text), '[a-z0-9]+') AS words FROM rec),
+sh AS (
+  SELECT DISTINCT rec_table, id, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS s
+  FROM (SELECT rec_table, id, words, unnest(generate_series(1, len(words) - 2)) AS i FROM w WHERE len(words) >= 3)
+), n AS (SELECT rec_table, id, count(*) AS n FROM sh GROUP BY rec_table, id),
+common AS (
+  SELECT a.rec_table, a.id AS id_a, b.id AS id_b, count(*) AS c
+  FROM sh a JOIN sh b ON a.rec_table = b.rec_table AND a.s = b.s AND a.id < b.id GROUP BY a.rec_table, a.id, b.id
+), pairs AS (
+  SELECT c.rec_table, c.id_a, c.id_b, x.n AS na, y.n AS nb FROM common c
+  JOIN n x ON x.rec_table = c.rec_table AND x.id = c.id_a JOIN n y ON y.rec_table = c.rec_table AND y.id = c.id_b
+  WHERE c.c * 5 >= (x.n + y.n - c.c) * 3
+)
+"""
+
 _P5 = r"""
 WITH RECURSIVE latest AS (
   SELECT concept_id, course_id, title, keywords, source_pages FROM (
@@ -53,5 +72,6 @@ SQL = {
 SELECT w.rec_table, w.rec_id, len(w.words)::BIGINT AS n_words, coalesce(s.n, 0)::BIGINT AS shared_words,
   coalesce(s.n, 0)::DOUBLE / nullif(len(w.words), 0) AS share
 FROM w LEFT JOIN (SELECT rec_table, rec_id, sum(last_word - first_word + 1) AS n FROM stretches GROUP BY rec_table, rec_id) s USING (rec_table, rec_id)""",
+    "p4_found": _P4 + "SELECT rec_table, id_a, id_b FROM pairs",
     "p5_found": _P5 + "SELECT id AS concept_id, min(r) AS group_id FROM reach GROUP BY id",
 }
