@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradewright.llm.words import mix
+from gradewright.llm.words import WordHashes, gram_hashes, hash_words, mix
 from gradewright.scratch import Scratch
 from gradewright.skew import lookup
 
@@ -22,11 +24,28 @@ BLOCK = 512
 COPIES = 200
 
 
-def shingles(text, scope, n: int = 3):
-    """The set of hashed runs of n words of [a-z0-9]+ in the lower-cased text, as an array; empty for shorter texts."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
-    runs = F.transform(F.sequence(F.lit(1), F.size("_w") - (n - 1)), lambda i: F.xxhash64(scope, *[F.element_at(F.col("_w"), i + k) for k in range(n)]))
-    return words, F.when(F.size("_w") >= n, F.array_distinct(runs))
+def _shingle_batches(n: int):
+    """Emits each record's set of hashed runs of n words of [a-z0-9]+ in the lower-cased text, and a digest of the set."""
+    find = re.compile(rb"[a-z0-9]+").findall
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
+        for batch in batches:
+            out: dict[str, list] = {"scope": [], "id": [], "sh": [], "h": []}
+            for scope, key, text in zip(*(batch.column(c).to_pylist() for c in ("scope", "id", "text"))):
+                words = find(text.lower().encode("utf-8", "replace"))
+                if len(words) < n:
+                    continue
+                salt = np.uint64(xxhash.xxh3_64_intdigest(scope.encode()))
+                runs = np.sort(np.unique(gram_hashes(hash_words(words, memo), n) ^ salt).view(np.int64))
+                for name, value in (("scope", scope), ("id", key), ("sh", runs), ("h", xxhash.xxh3_128_digest(runs.tobytes()))):
+                    out[name].append(value)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out["scope"], pa.string()), pa.array(out["id"], pa.int64()), pa.array(out["sh"], pa.list_(pa.int64())), pa.array(out["h"], pa.binary())],
+                ["scope", "id", "sh", "h"],
+            )
+
+    return run
 
 
 def _mask_keys(blocks: int, keep: int, lose: int):
@@ -103,9 +122,7 @@ class NearDuplicates:
         self.scratch = scratch = Scratch(records.sparkSession, "neardup")
         self.num, self.den = num, den
         rows = records.select("scope", F.col("id").cast("long").alias("id"), "text").dropna().groupBy("scope", "id").agg(F.min("text").alias("text"))
-        words, runs = shingles(F.col("text"), F.col("scope"), n)
-        sets = rows.select("scope", "id", words.alias("_w")).select("scope", "id", runs.alias("sh")).filter("sh is not null")
-        sets = scratch.write(sets.select("scope", "id", F.array_sort("sh").alias("sh")).withColumn("h", F.sha2(F.array_join(F.transform("sh", lambda x: x.cast("string")), ","), 256)))
+        sets = scratch.write(rows.mapInArrow(_shingle_batches(n), "scope string, id long, sh array<long>, h binary"))
         self.members = sets.select("scope", "id", "h")
         groups = sets.groupBy("scope", "h").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("sh").alias("sh"))
         self.reps = scratch.write(groups.select(F.monotonically_increasing_id().alias("rid"), "scope", "h", "id", "copies", "sh"))
