@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradewright.llm.consolidate import consolidate, draft_matches
+from gradewright.llm.leakage import RUN, leaks
 from gradewright.llm.neardup import NearDuplicates
+from gradewright.llm.packing import CAPACITY, count_tokens, pack
 from gradewright.llm.spans import SharedSpans
+from gradewright.llm.splitting import split_oversized
 from gradewright.llm.sql import SQL
 from gradewright.operators.hierarchy import latest_rows
 from gradewright.tables import read
@@ -38,6 +41,21 @@ def p1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SharedSpans(_records(spark, sf_dir)).passages()
 
 
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = read(spark, sf_dir, "chunks").select("chunk_id", "content", "page_start", "page_end", "created_at")
+    return split_oversized(latest_rows(chunks, "chunk_id", "created_at"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks that had to be split."""
+    return _pieces(spark, sf_dir).filter("piece_no = 0").select("chunk_id")
+
+
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every oversized chunk."""
+    return _pieces(spark, sf_dir)
+
+
 def _near(spark: SparkSession, sf_dir: str) -> NearDuplicates:
     parts = [("questions", "question_id", "stem"), ("extra_caselets_1mark", "caselet_id", "scenario")]
     rows = [read(spark, sf_dir, t).select(F.lit(t).alias("scope"), F.col(k).alias("id"), F.col(c).alias("text")) for t, k, c in parts]
@@ -63,6 +81,36 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("node").alias("concept_id"), "group_id")
 
 
+def p8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every document, or of its parts if it is larger than one."""
+    return pack(count_tokens(read(spark, sf_dir, "documents")))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of containers, tokens and the share of the space used."""
+    used = p8_packing(spark, sf_dir).filter("container_id is not null").groupBy("container_id").agg(F.sum("n_tokens").alias("n"))
+    return used.agg(F.count("*").alias("containers"), F.sum("n").alias("tokens"), (F.sum("n") / F.count("*") / CAPACITY).alias("used"))
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a verbatim run of an item."""
+    return _leaks(spark, sf_dir).filter(F.col("longest_run") >= RUN).select("doc_id", "item_id")
+
+
+def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that give an item away, edited copies included, with their alignment."""
+    return _leaks(spark, sf_dir)
+
+
+def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaked items: in how many documents, and how much of the item at most."""
+    return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("share").alias("most_share"), F.max("longest_run").alias("longest_run"))
+
+
 __all__ = ["QUERIES", "SQL"]
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_share, p1_passages, p4_found, p4_groups, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_share, p1_passages, p3_found, p3_pieces, p4_found, p4_groups, p5_found, p8_packing, p8_fill, p9_found, p9_leaks, p9_items)}

@@ -72,6 +72,15 @@ SQL = {
 SELECT w.rec_table, w.rec_id, len(w.words)::BIGINT AS n_words, coalesce(s.n, 0)::BIGINT AS shared_words,
   coalesce(s.n, 0)::DOUBLE / nullif(len(w.words), 0) AS share
 FROM w LEFT JOIN (SELECT rec_table, rec_id, sum(last_word - first_word + 1) AS n FROM stretches GROUP BY rec_table, rec_id) s USING (rec_table, rec_id)""",
+    "p3_found": r"""
+SELECT DISTINCT chunk_id FROM chunks
+WHERE len(regexp_extract_all(content, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) > 1400""",
     "p4_found": _P4 + "SELECT rec_table, id_a, id_b FROM pairs",
+    "p9_found": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM eval_items WHERE text IS NOT NULL),
+dg AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 11)) AS k FROM d WHERE len(w) >= 12)),
+ig AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - 11)) AS k FROM i WHERE len(w) >= 12))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
     "p5_found": _P5 + "SELECT id AS concept_id, min(r) AS group_id FROM reach GROUP BY id",
 }
