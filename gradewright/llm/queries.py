@@ -11,6 +11,7 @@ from gradewright.llm.consolidate import consolidate, draft_matches
 from gradewright.llm.leakage import RUN, leaks
 from gradewright.llm.neardup import NearDuplicates
 from gradewright.llm.packing import CAPACITY, count_tokens, pack
+from gradewright.llm.ranking import rank_questions
 from gradewright.llm.spans import SharedSpans
 from gradewright.llm.splitting import split_oversized
 from gradewright.llm.sql import SQL
@@ -81,6 +82,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("node").alias("concept_id"), "group_id")
 
 
+def p6_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All questions by strength, with standard errors and component checks."""
+    attempts = read(spark, sf_dir, "attempt_outcomes").select("attempt_id", "user_id", "question_id", "correct", "theta_before", "q_rating_before")
+    return rank_questions(attempts)
+
+
 def p8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of every document, or of its parts if it is larger than one."""
     return pack(count_tokens(read(spark, sf_dir, "documents")))
@@ -113,4 +120,4 @@ def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 __all__ = ["QUERIES", "SQL"]
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_share, p1_passages, p3_found, p3_pieces, p4_found, p4_groups, p5_found, p8_packing, p8_fill, p9_found, p9_leaks, p9_items)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_share, p1_passages, p3_found, p3_pieces, p4_found, p4_groups, p5_found, p6_ranking, p8_packing, p8_fill, p9_found, p9_leaks, p9_items)}
