@@ -13,6 +13,7 @@ from gradewright.llm.neardup import NearDuplicates
 from gradewright.llm.packing import CAPACITY, count_tokens, pack
 from gradewright.llm.ranking import rank_questions
 from gradewright.llm.spans import SharedSpans
+from gradewright.llm.spam import spam_scores
 from gradewright.llm.splitting import split_oversized
 from gradewright.llm.sql import SQL
 from gradewright.operators.hierarchy import latest_rows
@@ -118,6 +119,16 @@ def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("share").alias("most_share"), F.max("longest_run").alias("longest_run"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are mostly keywords, links or tags."""
+    return p10_scores(spark, sf_dir).filter("spam").select("doc_id")
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores of every document."""
+    return spam_scores(read(spark, sf_dir, "documents"))
+
+
 __all__ = ["QUERIES", "SQL"]
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_share, p1_passages, p3_found, p3_pieces, p4_found, p4_groups, p5_found, p6_ranking, p8_packing, p8_fill, p9_found, p9_leaks, p9_items)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_share, p1_passages, p3_found, p3_pieces, p4_found, p4_groups, p5_found, p6_ranking, p8_packing, p8_fill, p9_found, p9_leaks, p9_items, p10_found, p10_scores)}
