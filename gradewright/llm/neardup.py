@@ -52,7 +52,7 @@ def _mask_keys(blocks: int, keep: int, lose: int):
     """Emits, for each record and each of the bit masks, the hash of the bits that the mask leaves.
 
     A shingle is a bit position; mask b leaves the positions hashed to b. Masks that leave nothing emit nothing.
-    ``spare`` is how many of the record's keys may be left out while all pairs stay covered.
+    ``blocks`` is how many masks leave something, ``need`` under how many of them a record must be found to be covered.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,10 +71,11 @@ def _mask_keys(blocks: int, keep: int, lose: int):
             place = place[first]
             row = place // blocks
             key = mix(total ^ mix((place % blocks).astype(np.uint64)))
-            spare = np.bincount(row, minlength=len(n)) - n * lose // keep - 1
+            left = np.bincount(row, minlength=len(n))
+            columns = (n, left, n * lose // keep + 1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(batch.column("rid").to_numpy()[row]), pa.array(n[row].astype(np.int32)), pa.array(spare[row].astype(np.int32))],
-                ["key", "rid", "n", "spare"],
+                [pa.array(key.view(np.int64)), pa.array(batch.column("rid").to_numpy()[row]), *[pa.array(c[row].astype(np.int32)) for c in columns]],
+                ["key", "rid", "n", "blocks", "need"],
             )
 
     return run
@@ -111,8 +112,9 @@ class NearDuplicates:
 
     A record is a bit vector over shingles. Similar sets A and B differ in at most r = |A| (den - num) / num
     bits. The masks of a covering split the bits, so at most r masks see a difference: if A leaves something under more
-    than r masks, one of these leaves the same in B, and the two collide under it. Buckets above a bound are not
-    listed; a record with still more than r other keys is covered all the same. The records for which that fails (long, short or
+    than r masks, one of these leaves the same in B, and the two collide under it. So it is enough that each record is looked
+    for under its r + 1 rarest keys, in an order that all records share: the first key two similar records have in common is then
+    among those of both. Buckets above a bound are not listed; records that would need one (long, short or
     made of very common runs) get the next covering among themselves, with more masks and larger buckets, and the
     last of them one with a mask per bit, of which each record needs its r + 1 rarest; its buckets are cut
     into blocks and compared block by block, so no task holds a whole bucket. Every listed pair is then checked exactly.
@@ -141,13 +143,18 @@ class NearDuplicates:
         self.rep_pairs = scratch.write(out.distinct() if len(found) > 1 else out)
 
     def _cover(self, left: DataFrame, blocks: int, bucket: int) -> tuple[DataFrame, DataFrame]:
-        keys = self.scratch.write(left.mapInArrow(_mask_keys(blocks, self.num, self.den - self.num), "key long, rid long, n int, spare int"))
-        sizes = self.scratch.write(keys.groupBy("key").agg(F.count("*").alias("cnt")).filter("cnt > 1"))
-        listed = lookup(keys.select("key", "rid", "n"), sizes.filter(F.col("cnt") <= bucket), "key")
+        keys = self.scratch.write(left.mapInArrow(_mask_keys(blocks, self.num, self.den - self.num), "key long, rid long, n int, blocks int, need int"))
+        sizes = self.scratch.write(keys.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1"))
+        shared = lookup(keys, sizes.withColumn("cnt", F.col("df")), "key")
+        # Keys of one record only come first in every record's order; they are counted but need not be looked under.
+        own = Window.partitionBy("rid")
+        place = F.row_number().over(own.orderBy("df", "key")) + F.col("blocks") - F.count("*").over(own)
+        first = self.scratch.write(shared.withColumn("place", place).filter("place <= need").select("key", "rid", "n", "df"))
+        listed = first.filter(F.col("df") <= bucket)
         bags = listed.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rid", "n"))).alias("bag"))
-        first = bags.select(F.posexplode("bag").alias("i", "x"), "bag").select("x", F.explode(F.expr("slice(bag, i + 2, size(bag))")).alias("y"))
+        listed_pairs = bags.select(F.posexplode("bag").alias("i", "x"), "bag").select("x", F.explode(F.expr("slice(bag, i + 2, size(bag))")).alias("y"))
         near = (F.least("x.n", "y.n") * self.den) >= (F.greatest("x.n", "y.n") * self.num)
-        pairs = first.filter(near).select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).distinct()
+        pairs = listed_pairs.filter(near).select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).distinct()
         sets = self.reps.select("rid", "sh")
         checked = (
             pairs.join(sets.select(F.col("rid").alias("a"), F.col("sh").alias("sa")), "a")
@@ -156,9 +163,7 @@ class NearDuplicates:
             .filter(F.col("inter") * self.den >= (F.size("sa") + F.size("sb") - F.col("inter")) * self.num)
             .select("a", "b")
         )
-        hot = lookup(keys.select("key", "rid", "spare"), sizes.filter(F.col("cnt") > bucket), "key")
-        bare = hot.groupBy("rid").agg(F.count("*").alias("n"), F.min("spare").alias("spare")).filter("n > spare").select("rid")
-        bare = bare.union(keys.filter("spare < 0").select("rid")).distinct()
+        bare = first.filter(F.col("df") > bucket).select("rid").union(keys.filter("blocks < need").select("rid")).distinct()
         return checked, self.scratch.write(left.join(bare, "rid"))
 
     def _last(self, left: DataFrame, block: int) -> DataFrame:
