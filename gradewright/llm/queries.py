@@ -13,6 +13,7 @@ from gradewright.llm.neardup import NearDuplicates
 from gradewright.llm.packing import CAPACITY, count_tokens, pack
 from gradewright.llm.ranking import rank_questions
 from gradewright.llm.spans import SharedSpans
+from gradewright.llm.scans import ScannedPages
 from gradewright.llm.spam import spam_scores
 from gradewright.llm.splitting import split_oversized
 from gradewright.llm.sql import SQL
@@ -89,6 +90,21 @@ def p6_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_questions(attempts)
 
 
+def _scans(spark: SparkSession, sf_dir: str) -> ScannedPages:
+    pages = read(spark, sf_dir, "parsed_pages").select("page_id", "source_id", "page_number", "text")
+    return ScannedPages(pages, read(spark, sf_dir, "parse_results").select("source_id", "headers", "footers"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running lines, broken words and misread words of all pages, with their repair."""
+    return _scans(spark, sf_dir).defects()
+
+
+def p7_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The readable paragraphs of all pages."""
+    return _scans(spark, sf_dir).paragraphs()
+
+
 def p8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of every document, or of its parts if it is larger than one."""
     return pack(count_tokens(read(spark, sf_dir, "documents")))
@@ -131,4 +147,4 @@ def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 __all__ = ["QUERIES", "SQL"]
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_share, p1_passages, p3_found, p3_pieces, p4_found, p4_groups, p5_found, p6_ranking, p8_packing, p8_fill, p9_found, p9_leaks, p9_items, p10_found, p10_scores)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_share, p1_passages, p3_found, p3_pieces, p4_found, p4_groups, p5_found, p6_ranking, p7_found, p7_paragraphs, p8_packing, p8_fill, p9_found, p9_leaks, p9_items, p10_found, p10_scores)}

@@ -26,7 +26,7 @@ FUNCTION_WORDS = {
     "en": "a about after again all also although among an and another any are as at be because been before being between both but by can cannot could did do does during each either even every few for from further had has have he her here him his how i if in into is it its just may might more most must near neither no nor not of off on once one only or other our out over own per same shall she should since so some such than that the their them then there these they this those though through to together toward under unless until up upon us was we were what when where whether which while who whom whose why will with within without would yet you your",
     "fr": "à afin ainsi alors après au aucun aussi autre aux avant avec car ce cela ces cet cette chaque comme dans de depuis des doit donc dont du elle elles en entre est et eux il ils je jusque la le les leur leurs lorsque lui mais même mes moins mon ne ni nos notre nous on ont ou où par parce pas pendant peut plus pour puis que quel quelle qui sans selon si son sont sous sur tous tout toute très un une vers vos votre vous",
     "de": "aber alle als also am an auch auf aus bei beim bevor bis da damit dann darf das dass dem den denn der des deren dessen die dies diese dieser durch ein eine einem einen einer eines er es für gegen haben hat hier ihr ihre im in ist ja jede jeder kann kein keine können laut man mehr mit muss nach nicht noch nur ob oder ohne sehr seit sein seine sich sie sind so soll über um und uns unter vom von vor während war was weil wenn werden wie wir wird zu zum zur zwischen",
-    "es": "a al algo ante antes aquel aunque cada como con contra cual cuando de debe del desde donde durante e el ella ellos en entre era es esa ese esta este están está hacia han hasta hay la las le les lo los más me mi mientras muy ni no nos o otra otro para pero poco por porque primero puede que quien se según ser si sin sobre son su sus también tan tanto te tiene todo todos tras tu u un una uno unos ya y",
+    "es": "a al algo ante antes aquel aunque cada como con contra cual cuando de debe del desde donde durante e el ella ellos en entre era es esa ese esta este están está hacia han hasta hay la las le les lo los más me mi mientras muy ni no nos o otra otro para pero poco por porque primero puede que quien se según ser si sin sobre son su sus también tan tanto te tiene todo todos tras tu u un una uno unos y",
 }
 
 _WORD = re.compile(r"\w+")
