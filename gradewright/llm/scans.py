@@ -15,6 +15,8 @@ from gradewright.skew import HOT_SHARE
 
 #: Lines at each edge of a page that may be running lines, and pages on which one must recur.
 EDGE, RECUR = 3, 3
+#: Share of a source's pages on which a line must recur that isn't set like a title.
+OFTEN = 0.1
 #: A word is a misreading of another if that one is so many times as frequent; less is asked of words with foreign characters.
 RATIO, ODD_RATIO = 10, 2
 _PAGES_PER_WINDOW = 256
@@ -36,13 +38,15 @@ _ROMAN = re.compile(r"[ivxl]{1,7}")
 _ODD = re.compile(r"[^a-z'-]")
 
 
+# Strokes stand for all that is mistaken for them, so that one character and the two it is read as come out alike.
+_FOLD = str.maketrans({"0": "o", "1": "l", "!": "l", "|": "l", "i": "l", "t": "f", "5": "s", "$": "s", "9": "g", "q": "g", "c": "e", "m": "rrl", "n": "rl", "d": "el", "u": "ll", "h": "ll", "b": "ll", "6": "ll", "8": "ll", "w": "vv"})
+
+
 def _fold(text: str) -> str:
     """One form for all misreadings of a line: classes of characters that are mistaken for each other."""
     s = unicodedata.normalize("NFKD", text.lower())
     s = "".join(ch for ch in s if not unicodedata.combining(ch) and not ch.isspace())
-    for a, b in (("vv", "w"), ("rn", "m"), ("cl", "d"), ("ri", "n"), ("ii", "u"), ("li", "h")):
-        s = s.replace(a, b)
-    return s.translate(str.maketrans("01!|it5$9g6h8c", "ollllfssqqbbbe"))
+    return s.translate(_FOLD)
 
 
 def _number(token: str) -> str | None:
@@ -113,7 +117,7 @@ def chrome_lines(pages: DataFrame, results: DataFrame | None = None) -> DataFram
     ))
     plain = edges.filter(~F.col("skeleton").contains("#"))
     forms = plain.groupBy("source_id", "side", "skeleton").agg(F.count_distinct("page_id").alias("n"), F.avg(F.col("titled").cast("int")).alias("t"))
-    running = forms.filter((F.col("t") > 0.5) & (F.col("n") >= 2) | (F.col("n") >= RECUR) & (F.col("t") > 0)).select("source_id", "side", "skeleton")
+    running = forms.filter((F.col("t") > 0.5) & (F.col("n") >= 2)).select("source_id", "side", "skeleton")
     if results is not None:
         fold = F.udf(lambda x: edge_form(x)[0], "string")  # a few dozen lines a workbook
         hints = results.select("source_id", F.explode(F.array_distinct(F.concat(F.coalesce("headers", F.array()), F.coalesce("footers", F.array())))).alias("h"))
@@ -121,8 +125,12 @@ def chrome_lines(pages: DataFrame, results: DataFrame | None = None) -> DataFram
         named = forms.join(hints, ["source_id", "skeleton"], "left_semi").filter("t > 0.5").select("source_id", "side", "skeleton")
         running = running.union(named).distinct()
     # A title with a number, of whatever value ("edition 2029", "Institute 12"); rows of figures have more numbers.
-    named = edges.filter(F.col("titled") & (F.regexp_count("skeleton", F.lit("#")).between(1, 2)) & (F.length(F.regexp_replace("skeleton", "[^a-z]", "")) >= 4))
-    recurring = named.groupBy("source_id", "side", "skeleton").agg(F.count_distinct("page_id").alias("n")).filter(F.col("n") >= RECUR)
+    # What is not set like a title must recur on OFTEN of the source's pages.
+    often = F.col("n") >= F.col("pages") * OFTEN
+    sizes = edges.groupBy("source_id").agg(F.count_distinct("page_id").alias("pages"))
+    worded = edges.filter((F.regexp_count("skeleton", F.lit("#")) <= 2) & (F.length(F.regexp_replace("skeleton", "[^a-z]", "")) >= 4))
+    recurring = worded.groupBy("source_id", "side", "skeleton").agg(F.count_distinct("page_id").alias("n"), F.avg(F.col("titled").cast("int")).alias("t"))
+    recurring = recurring.join(sizes, "source_id").filter((F.col("n") >= RECUR) & ((F.col("t") > 0.5) | often))
     running = running.union(recurring.select("source_id", "side", "skeleton")).distinct()
     numbered = edges.filter(F.col("skeleton").contains("#") & F.col("value").isNotNull()).withColumn("off", F.col("value") - F.col("page_number"))
     kept = (
