@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from gradewright.plans import hierarchy
+from gradewright.plans import hierarchy, learning, text, vectors
 
-_MODULES = (hierarchy,)
+_MODULES = (hierarchy, learning, text, vectors)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
-FLAGSHIP = "p2_found"
+FLAGSHIP = "mastery_heatmap"
