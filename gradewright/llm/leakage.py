@@ -17,6 +17,8 @@ from gradewright.llm.words import gram_hashes
 RUN, SEED = 12, 5
 #: Share of an item's words that an edited copy must have aligned.
 SHARE = 0.6
+#: Share of the documents that a seed may stand in to point to an edited copy.
+RARE = 0.0005
 #: Words of the items handled at a time; more items are handled in blocks, each against all documents.
 BLOCK_WORDS = 200_000
 
@@ -60,31 +62,40 @@ class _Items:
 
 
 def _frequency_batches(items: _Items):
-    """Emits, for each known seed, in how many documents of the partition it stands."""
+    """Emits, for each known seed, in how many documents of the partition it stands; under null, how many documents there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(len(items.known), dtype=np.int64)
+        counts, docs = np.zeros(len(items.known), dtype=np.int64), 0
         for batch in batches:
+            docs += batch.num_rows
             for text in batch.column("text"):
                 _, h = items.hits(items.number(_words(text.as_py())), items.known)
                 if len(h):
                     counts[np.searchsorted(items.known, np.unique(h))] += 1
         at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(items.known[at].view(np.int64)), pa.array(counts[at])], ["seed", "n"])
+        seeds = pa.array([*items.known[at].view(np.int64).tolist(), None], pa.int64())
+        yield pa.RecordBatch.from_arrays([seeds, pa.array([*counts[at].tolist(), docs], pa.int64())], ["seed", "n"])
 
     return run
 
 
-def rare_seeds(items: _Items, frequency: dict[int, int], run: int) -> dict[int, list[tuple[int, int]]]:
-    """Seed hash to (item, position): of every window of ``run`` words of an item, the seed that fewest documents have.
+def rare_seeds(items: _Items, frequency: dict[int | None, int], run: int, rare: float = RARE) -> dict[int, list[tuple[int, int]]]:
+    """Seed hash to (item, position), for every window of ``run`` words of an item.
 
-    So a document with a window's words has that window's seed, however common it may be.
+    If all seeds of the window stand in documents, the rarest of them is taken, however common it may be: a document with the window has
+    it. Else no document has the window, and only seeds of at most the share ``rare`` of the documents are taken, for edited copies.
     """
     out: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    none, most = 1 << 62, max(1, int(frequency.get(None, 0) * rare))
     for key, grams in items.grams.items():
-        df = np.array([frequency.get(int(g), 0) for g in grams.view(np.int64)])
+        df = np.array([frequency.get(int(g), none) for g in grams.view(np.int64)])
         width = min(run - items.seed + 1, len(grams))
-        chosen = {a + int(np.argmin(df[a:a + width])) for a in range(len(grams) - width + 1)}
+        chosen = set()
+        for a in range(len(grams) - width + 1):
+            window = df[a:a + width]
+            at = a + int(np.argmin(window))
+            if df[at] <= most or window.max() < none:
+                chosen.add(at)
         for at in chosen:
             out[int(grams[at])].append((key, at))
     return dict(out)
