@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gradewright.plans import hierarchy, learning, text, vectors
+from gradewright.plans import hierarchy, learning, practice, text, vectors
 
-_MODULES = (hierarchy, learning, text, vectors)
+_MODULES = (hierarchy, learning, practice, text, vectors)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
