@@ -19,6 +19,8 @@ EDGE, RECUR = 3, 3
 OFTEN = 0.1
 #: A word is a misreading of another if that one is so many times as frequent; less is asked of words with foreign characters.
 RATIO, ODD_RATIO = 10, 2
+#: What a line with nothing but its page number may say beside it, as _fold() writes it.
+BARE = ("", "p", "pl", "page", "pg")
 _PAGES_PER_WINDOW = 256
 
 # What character recognition makes of printed characters, misread to printed.
@@ -33,6 +35,7 @@ DIGITS = {"O": "0", "o": "0", "D": "0", "Q": "0", "l": "1", "I": "1", "i": "1",
 _BREAK = "-­‐‑¬"
 _ENDS = re.compile(rf"([^\W\d_](?:[\w'{_BREAK}]*[^\W_])?|[^\W\d_])[{_BREAK}]\s*$")
 _STARTS = re.compile(r"\s*([^\W_][\w'-]*)")
+_LONE = re.compile(r"\W*\d+\W*")
 _STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’–—…•·°§"
 _ROMAN = re.compile(r"[ivxl]{1,7}")
 _ODD = re.compile(r"[^a-z'-]")
@@ -133,19 +136,17 @@ def chrome_lines(pages: DataFrame, results: DataFrame | None = None) -> DataFram
     recurring = recurring.join(sizes, "source_id").filter((F.col("n") >= RECUR) & ((F.col("t") > 0.5) | often))
     running = running.union(recurring.select("source_id", "side", "skeleton")).distinct()
     numbered = edges.filter(F.col("skeleton").contains("#") & F.col("value").isNotNull()).withColumn("off", F.col("value") - F.col("page_number"))
-    kept = (
-        numbered.groupBy("source_id", "side", "skeleton", "off").agg(F.count_distinct("page_id").alias("n")).filter(F.col("n") >= RECUR)
-        .groupBy("source_id", "side", "skeleton").agg(F.max_by("off", F.struct("n", -F.abs("off"))).alias("off"))
-    )
+    offs = numbered.groupBy("source_id", "side", "skeleton", "off").agg(F.count_distinct("page_id").alias("n"))
     # Small sources have no three pages of a form: page numbers themselves, alone on their line, need two.
-    bare = F.regexp_replace("skeleton", "[^a-z0-9]", "").isin("", "p", "page", "pq")
-    few = numbered.filter(bare & (F.abs("off") <= 60)).groupBy("source_id", "side", "skeleton", "off").agg(F.count_distinct("page_id").alias("n")).filter("n >= 2")
-    few = few.groupBy("source_id", "side", "skeleton").agg(F.max_by("off", "n").alias("off2"))
+    bare = F.regexp_replace("skeleton", "[^a-z0-9]", "").isin(*BARE)
+    kept = offs.filter((F.col("n") >= RECUR) | bare & (F.col("n") >= 2) & (F.abs("off") <= 60))
+    same = numbered.join(kept.select("source_id", "side", "skeleton", "off"), ["source_id", "side", "skeleton", "off"], "left_semi").select("page_id", "side", "depth", "line_no")
+    # A number that misses the usual distance by one misread digit.
+    usual = kept.groupBy("source_id", "side", "skeleton").agg(F.max_by("off", F.struct("n", -F.abs("off"))).alias("usual"))
     digits = lambda c: F.length(c.cast("string"))
-    meant = F.col("page_number") + F.coalesce("off", "off2")
+    meant = F.col("page_number") + F.col("usual")
     close = (digits(F.col("value")) == digits(meant)) & (F.levenshtein(F.col("value").cast("string"), meant.cast("string")) <= 1)
-    as_number = edges.filter(F.col("value").isNotNull()).join(kept, ["source_id", "side", "skeleton"], "left").join(few, ["source_id", "side", "skeleton"], "left")
-    by_number = as_number.filter(meant.isNotNull() & ((F.col("value") == meant) | close)).select("page_id", "side", "depth", "line_no")
+    by_number = same.union(numbered.join(usual, ["source_id", "side", "skeleton"]).filter(close).select("page_id", "side", "depth", "line_no"))
     by_form = edges.join(running, ["source_id", "side", "skeleton"], "left_semi").select("page_id", "side", "depth", "line_no")
     hits = by_number.union(by_form).distinct()
     rank = F.row_number().over(Window.partitionBy("page_id", "side").orderBy("depth"))  # at most EDGE rows
@@ -189,12 +190,16 @@ def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             lines = [(i, x) for i, x in enumerate(text.split("\n"), 1) if x.strip() and i not in out]
             open_part: tuple[int, str] | None = None
             before = ""
-            for k, (no, line) in enumerate(lines):
+            headed = False
+            for no, line in lines:
                 tokens = line.split()
                 start = _STARTS.match(line)
-                if k == 0:
+                if not headed and not _LONE.fullmatch(line):
                     put("h", no, start.group(1) if start else "")
+                    headed = True
                 skip = False
+                if open_part is not None and _LONE.fullmatch(line):
+                    continue  # a number by itself does not go on with a word
                 if open_part is not None:
                     if start:
                         put("b", open_part[0], open_part[1], start.group(1))
@@ -343,7 +348,10 @@ class ScannedPages:
         total = self.vocabulary.agg(F.sum("n")).first()[0] or 0
         # The most frequent words (at most 1 / HOT_SHARE of them) are left out before the join: they are no misreadings, and would crowd it.
         hot = F.broadcast(self.vocabulary.filter(F.col("n") > total * HOT_SHARE).join(self.readings, "word", "left_anti").select("word"))
-        words = self.parts.filter("kind = 'w'").select("page_id", "line_no", "word").join(hot, "word", "left_anti").join(self.readings, "word")
+        # The first word of a page that ends a word of the page before is no word.
+        ends = self.breaks.filter("next_page is not null").select(F.col("next_page").alias("page_id"), F.lower("right").alias("word"))
+        heads = self.parts.filter("kind = 'h'").select("page_id", "line_no").join(ends, "page_id").distinct()
+        words = self.parts.filter("kind = 'w'").select("page_id", "line_no", "word").join(hot, "word", "left_anti").join(self.readings, "word").join(heads, ["page_id", "line_no", "word"], "left_anti")
         numbers = self.parts.filter("kind = 'n'").select("page_id", "line_no", "word", F.col("other").alias("repaired"))
         return words.select("page_id", "line_no", "word", "repaired").unionByName(numbers).distinct()
 
