@@ -13,6 +13,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gradewright import ship
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -35,6 +37,7 @@ class Scratch:
     """The written tables of one operator call."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship.ensure(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/gradewright/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0

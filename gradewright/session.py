@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from gradewright import ship
+
 #: Settings every query relies on; deployment settings (memory, partitions) stay with the caller.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -23,4 +25,5 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     builder = builder.config("spark.sql.shuffle.partitions", str(partitions)).config("spark.driver.memory", memory)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship.ensure(spark)
     return spark
