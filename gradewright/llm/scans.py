@@ -254,11 +254,19 @@ def readings(word: str) -> set[str]:
 
 
 def _reading_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def emit(rows: list[tuple[str, int, str]]) -> pa.RecordBatch:
+        a, b, c = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, pa.int64()), pa.array(c)], ["word", "n", "printed"])
+
+    rows: list[tuple[str, int, str]] = []
     for batch in batches:
-        rows = [(w, n, x) for w, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()) for x in readings(w)]
-        if rows:
-            a, b, c = zip(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, pa.int64()), pa.array(c)], ["word", "n", "printed"])
+        for w, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
+            rows += [(w, n, x) for x in readings(w)]
+            if len(rows) > 20_000:  # a word has up to some hundreds
+                yield emit(rows)
+                rows = []
+    if rows:
+        yield emit(rows)
 
 
 class ScannedPages:
