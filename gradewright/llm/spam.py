@@ -126,8 +126,11 @@ class _Counts:
         """(pmi, pairs elsewhere) of neighbouring words, the document's own occurrences taken out of all counts."""
 
         def others(x: np.ndarray, table: np.ndarray) -> np.ndarray:
-            _, inv, own = np.unique(x, return_inverse=True, return_counts=True)
-            return np.maximum(0, table[(x & np.uint64(len(table) - 1)).astype(np.int64)].astype(np.int64) - own[inv])
+            order = np.argsort(x)
+            first = np.flatnonzero(np.concatenate([[True], x[order][1:] != x[order][:-1]]))
+            own = np.empty(len(x), np.int64)
+            own[order] = np.repeat(np.diff(np.append(first, len(x))), np.diff(np.append(first, len(x))))
+            return np.maximum(0, table[(x & np.uint64(len(table) - 1)).astype(np.int64)] - own)
 
         single, both = others(h, self.words), others(p, self.pairs)
         return np.log((both + 0.1) * self.total / ((single[:-1] + 1.0) * (single[1:] + 1.0))), both
@@ -142,7 +145,7 @@ def score_text(text: str, counts: _Counts, glue: np.ndarray, memo: WordHashes) -
     h, p = _hashes(words, memo)
     pmi, both = counts.pmi(h, p)
     bound = (pmi > PMI) & (both >= SUPPORT)
-    is_glue = np.isin(h, glue)
+    is_glue = glue[np.minimum(np.searchsorted(glue, h), len(glue) - 1)] == h
     tied = np.zeros(n, bool)
     tied[:-1] |= is_glue[:-1] & bound
     tied[1:] |= is_glue[1:] & bound
@@ -159,7 +162,7 @@ def score_text(text: str, counts: _Counts, glue: np.ndarray, memo: WordHashes) -
 def _score_batches(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, memo = _Counts(*shared.value), WordHashes()
-        glue = hash_words(sorted({w for ws in FUNCTION_WORDS.values() for w in ws.split()}), memo)
+        glue = np.sort(hash_words(sorted({w for ws in FUNCTION_WORDS.values() for w in ws.split()}), memo))
         for batch in batches:
             rows = [score_text(t.as_py(), counts, glue, memo) for t in batch.column("text")]
             if rows:
