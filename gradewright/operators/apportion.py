@@ -31,4 +31,4 @@ def softmax_sample(df: DataFrame, group: list[str], score: str, k: int, parts: l
     """
     noisy = F.col(score) / temperature - F.log(-F.log(hashed_uniform(*parts)))
     place = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("_g"), *parts))
-    return df.withColumn("_g", noisy).withColumn("slot", place).filter(F.col("slot") <= k).drop("_g")
+    return df.withColumn("_g", noisy).withColumn("slot", place.cast("long")).filter(F.col("slot") <= k).drop("_g")

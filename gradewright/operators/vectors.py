@@ -74,7 +74,7 @@ def search(queries: DataFrame, rows: DataFrame, k: int, min_cos: float | None =
     if out is None:
         out = rows.limit(0).select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("cos"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cos"), "id"))
-    return out.withColumn("rank", place).filter(F.col("rank") <= k)
+    return out.withColumn("rank", place.cast("long")).filter(F.col("rank") <= k)
 
 
 def near_classes(rows: DataFrame, min_cos: float, tables: int = 24, bits: int = 10, seed: int = 7, block: int = 2048) -> DataFrame:

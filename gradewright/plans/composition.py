@@ -36,7 +36,7 @@ def mock_paper(spark: SparkSession, sf_dir: str) -> DataFrame:
     seats = chapter_seats(spark, sf_dir).select("chapter_id", "seats")
     pool = questions(spark, sf_dir, "course_id", "concept_id", "status").filter("status = 'active'").join(where, "concept_id").join(seats, "chapter_id")
     place = F.row_number().over(Window.partitionBy("chapter_id").orderBy(L.hashed_uniform(F.lit("mock"), F.col("question_id")), "question_id"))
-    return pool.withColumn("place", place).filter("place <= seats").select("course_id", "chapter_id", "question_id", "place")
+    return pool.withColumn("place", place.cast("long")).filter("place <= seats").select("course_id", "chapter_id", "question_id", "place")
 
 
 def diagnostic_items(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,7 +155,7 @@ def _priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def priority_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five most urgent concepts of every learner."""
     place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("priority"), "concept_id"))
-    return _priorities(spark, sf_dir).withColumn("place", place).filter("place <= 5")
+    return _priorities(spark, sf_dir).withColumn("place", place.cast("long")).filter("place <= 5")
 
 
 def softmax_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
