@@ -35,6 +35,7 @@ DIGITS = {"O": "0", "o": "0", "D": "0", "Q": "0", "l": "1", "I": "1", "i": "1",
 _BREAK = "-­‐‑¬"
 _ENDS = re.compile(rf"([^\W\d_](?:[\w'{_BREAK}]*[^\W_])?|[^\W\d_])[{_BREAK}]\s*$")
 _STARTS = re.compile(r"\s*([^\W_][\w'-]*)")
+_HEAD = re.compile(r"\s*(?:\d+(?:\.\d+)*\.?\s+)?[A-Z][\w'-]*(?:\s+[\w'-]+)*\s*$")
 _LONE = re.compile(r"\W*\d+\W*")
 _STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’–—…•·°§"
 _ROMAN = re.compile(r"[ivxl]{1,7}")
@@ -408,13 +409,14 @@ def _paragraph_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             for x in r["misread"] or ():
                 misread.setdefault(x["line_no"], {})[x["word"]] = x["repaired"]
             paragraphs: list[list[str]] = [[]]
-            drop_first = bool(r["begun"])
+            drop_first, headed, tabled = bool(r["begun"]), False, False
             for no, line in enumerate(r["text"].split("\n"), 1):
                 if no in chrome:
                     continue
                 if not line.strip():
                     if paragraphs[-1]:
                         paragraphs.append([])
+                    headed = tabled = False
                     continue
                 tokens = line.split()
                 tail = ""
@@ -430,8 +432,17 @@ def _paragraph_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
                 if no in broken and tokens:
                     tokens[-1] = _like(tokens[-1].rstrip(_BREAK + " "), broken[no]["repaired"])
                     drop_first = True
+                before = paragraphs[-1][-1] if paragraphs[-1] else ""
+                is_row = " | " in line
+                ended = not before or before.endswith((".", "!", "?", ":"))
+                is_head = ended and not is_row and len(tokens) <= 12 and bool(_HEAD.match(line)) and _titled(line)
+                if paragraphs[-1] and (is_head or headed or is_row != tabled):
+                    paragraphs.append([])
+                if is_row and paragraphs[-1] and tokens:
+                    tokens[0] = "\n" + tokens[0]  # rows of a table keep their lines
+                headed, tabled = is_head, is_row
                 paragraphs[-1] += tokens
-            done = [" ".join(p) for p in paragraphs if p]
+            done = [" ".join(p).replace(" \n", "\n") for p in paragraphs if p]
             for k, text in enumerate(done):
                 rows.append((r["source_id"], r["page_id"], r["page_number"], k, text, k == len(done) - 1 and not text.endswith((".", "!", "?", ":"))))
         if rows:

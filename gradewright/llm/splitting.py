@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LIMIT, OVERLAP = 1400, 135
+#: A piece under this share of the budget is evened out with its neighbour.
+SMALL = 0.25
 
 # A token: a run of Unicode letters, digits and underscores, or any other single character that is not white space.
 _TOKEN = re.compile(r"\w+|[^\w\s]")
@@ -58,7 +60,7 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
 
     The stretches [start, end) tile the text. A span within the budget (the limit less the overlap) is a leaf;
     only a span above it is opened into the children of the next level, and neighbouring leaves are merged
-    bottom-up while they fit. Each later piece begins early, at the earliest sentence, line or block of its predecessor that
+    bottom-up while they fit; a small piece left beside a large one is evened out with it. Each later piece begins early, at the earliest sentence, line or block of its predecessor that
     lies within ``overlap`` tokens of the cut; failing one, at a token.
     """
     starts = np.fromiter((m.start() for m in _TOKEN.finditer(text)), dtype=np.int64)
@@ -91,6 +93,18 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
         return out
 
     spans = pack(0, len(text), 0)
+    # A small piece beside a large one: both are cut anew, at the strongest boundary that leaves both within the budget, next to the middle.
+    for k in range(len(spans) - 1):
+        (a, m), (_, b) = spans[k], spans[k + 1]
+        if min(count(a, m), count(m, b)) >= budget * SMALL:
+            continue
+        for cuts in levels[:4]:
+            near = [c for c in cuts[np.searchsorted(cuts, a, "right"):np.searchsorted(cuts, b)].tolist() if max(count(a, c), count(c, b)) <= budget]
+            if near:
+                cut = min(near, key=lambda c: abs(count(a, c) - count(c, b)))
+                if min(count(a, cut), count(cut, b)) > min(count(a, m), count(m, b)):
+                    spans[k], spans[k + 1] = (a, cut), (cut, b)
+                    break
     natural = np.unique(np.concatenate(levels[:4]))
     pieces = []
     for k, (a, b) in enumerate(spans):
