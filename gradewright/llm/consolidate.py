@@ -61,8 +61,7 @@ def consolidate(links: DataFrame, max_frontiers: int = MAX_FRONTIERS) -> DataFra
     for wave in waves[1:]:
         giant = giant.union(wave)
     giant = scratch.write(giant)
-    name = giant.agg(F.min("u").alias("g"))
-    tagged = giant.crossJoin(F.broadcast(name))  # one row
+    tagged = giant.withColumn("g", F.lit(giant.agg(F.min("u")).first()[0]).cast(giant.schema["u"].dataType))
     if rounds >= 0:
         rest = scratch.write(both.join(giant, "u", "left_anti"))
         peeled = tagged.select(F.col("u").alias("node"), F.col("g").alias("group_id"))

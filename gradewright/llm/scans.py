@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from gradewright.scratch import Scratch
 from gradewright.skew import HOT_SHARE
@@ -123,7 +124,7 @@ def chrome_lines(pages: DataFrame, results: DataFrame | None = None) -> DataFram
     forms = plain.groupBy("source_id", "side", "skeleton").agg(F.count_distinct("page_id").alias("n"), F.avg(F.col("titled").cast("int")).alias("t"))
     running = forms.filter((F.col("t") > 0.5) & (F.col("n") >= 2)).select("source_id", "side", "skeleton")
     if results is not None:
-        fold = F.udf(lambda x: edge_form(x)[0], "string")  # a few dozen lines a workbook
+        fold = F.pandas_udf(lambda lines: lines.map(lambda x: edge_form(x)[0]), StringType())
         hints = results.select("source_id", F.explode(F.array_distinct(F.concat(F.coalesce("headers", F.array()), F.coalesce("footers", F.array())))).alias("h"))
         hints = hints.filter("h is not null").select("source_id", fold("h").alias("skeleton")).distinct()
         named = forms.join(hints, ["source_id", "skeleton"], "left_semi").filter("t > 0.5").select("source_id", "side", "skeleton")
