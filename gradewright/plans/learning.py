@@ -143,12 +143,12 @@ def discrimination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = attempts(spark, sf_dir, "user_id", "concept_id", "theta_after", "created_at", "correct", "confidence")
-    now = rows.agg(F.max("created_at").alias("now"))
+    now = rows.agg(F.max("created_at")).scalar()
     state = rows.groupBy("user_id", "concept_id").agg(
         F.max_by("theta_after", F.struct("created_at", "attempt_id")).alias("theta"), F.max("created_at").alias("seen"), F.count("*").alias("n"),
         F.max_by(~F.col("correct") & (F.coalesce("confidence", F.lit("guessing")) == "sure"), F.struct("created_at", "attempt_id")).alias("flag"),
-    ).crossJoin(F.broadcast(now))  # one row
-    days = L.days_between(F.col("now"), F.col("seen"))
+    )
+    days = L.days_between(now, F.col("seen"))
     return state.select("user_id", "concept_id", F.round(L.priority(F.col("theta"), F.lit(30.0), days, F.col("flag"), F.col("n")), 6).alias("priority"))
 
 
