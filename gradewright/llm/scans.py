@@ -39,7 +39,8 @@ _STARTS = re.compile(r"\s*([^\W_][\w'-]*)")
 _HEAD = re.compile(r"\s*(?:\d+(?:\.\d+)*\.?\s+)?[A-Z][\w'-]*(?:\s+[\w'-]+)*\s*$")
 _LONE = re.compile(r"\W*\d+\W*")
 _STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’–—…•·°§"
-_ROMAN = re.compile(r"[ivxl]{1,7}")
+_ROMAN = re.compile(r"[ivx]{1,7}")
+_STROKES = str.maketrans("1|!l", "iiii")
 _ODD = re.compile(r"[^a-z'-]")
 
 
@@ -65,13 +66,14 @@ def edge_form(line: str) -> tuple[str, int | None, bool]:
     value, roman, out = None, False, []
     for token in re.findall(r"[\w|!$]+|[^\w\s]", line):
         has_digit = any(ch.isdigit() for ch in token)
-        number = _number(token) if has_digit or (len(line.split()) <= 3 and len(token) <= 3 and _number(token) and not _ROMAN.fullmatch(token)) else None
+        number = _number(token) if has_digit or (len(line.split()) <= 3 and len(token) <= 3 and _number(token) and not _ROMAN.fullmatch(token.translate(_STROKES))) else None
         if number is not None and len(number) <= 6:
             if value is None:
                 value = int(number)
             out.append("#")
-        elif value is None and _ROMAN.fullmatch(token.replace("1", "i").replace("|", "i").lower()) and token == token.lower():
-            value, roman = _roman(token.replace("1", "i").replace("|", "i")), True
+        elif value is None and token == token.lower() and _ROMAN.fullmatch(token.translate(_STROKES)):
+            # Small numerals of front matter: a stroke is an i, as pages from l on are not numbered so.
+            value, roman = _roman(token.translate(_STROKES)), True
             out.append("#")
         else:
             out.append(_fold(token))
@@ -79,7 +81,7 @@ def edge_form(line: str) -> tuple[str, int | None, bool]:
 
 
 def _roman(token: str) -> int:
-    size = {"i": 1, "v": 5, "x": 10, "l": 50}
+    size = {"i": 1, "v": 5, "x": 10}
     total = 0
     for a, b in zip(token, token[1:] + " "):
         total += size[a] if size[a] >= size.get(b, 0) else -size[a]
