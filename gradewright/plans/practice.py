@@ -56,18 +56,21 @@ def blind_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def concept_quotas(spark: SparkSession, sf_dir: str, total: int = 2000) -> DataFrame:
-    """Questions to write by course: three a concept, the rest by weakness, summing to the total exactly; mastered concepts get none."""
+    """Questions to write by course: three a concept, the rest by weakness, summing to the total exactly; mastered concepts get none.
+
+    Where the total doesn't exceed three a concept, all of it goes by weakness, and some concepts may get none.
+    """
     state = _latest(spark, sf_dir).groupBy("concept_id").agg(F.avg(L.mastery(F.col("theta"))).alias("m"))
     pool = _drafts(spark, sf_dir, "course_id").select("concept_id", "course_id").join(state, "concept_id", "left").withColumn("m", F.coalesce("m", F.lit(0.0))).filter("m < 0.9")
     n = F.count("*").over(Window.partitionBy("course_id"))
-    pool = pool.withColumn("w", F.round(1 - F.col("m"), 6)).withColumn("n", n).filter(F.col("n") * 3 < total)
+    pool = pool.withColumn("w", F.round(1 - F.col("m"), 6)).withColumn("floor", F.when(n * 3 < total, 3).otherwise(0)).withColumn("n", n)
     # What is left of the total differs by course, so shares of one unit are scaled by it.
-    rest = total - 3 * F.col("n")
+    rest = total - F.col("floor") * F.col("n")
     own = Window.partitionBy("course_id")
     share = F.round(F.col("w") / F.sum("w").over(own) * rest, 9)
     base = pool.withColumn("q", share)
     base = base.withColumn("f", F.floor("q")).withColumn("left", rest - F.sum("f").over(own)).withColumn("p", F.row_number().over(own.orderBy(F.desc(F.round(F.col("q") - F.col("f"), 6)), "concept_id")))
-    return base.select("course_id", "concept_id", (3 + F.col("f") + F.when(F.col("p") <= F.col("left"), 1).otherwise(0)).cast("long").alias("quota"))
+    return base.select("course_id", "concept_id", (F.col("floor") + F.col("f") + F.when(F.col("p") <= F.col("left"), 1).otherwise(0)).cast("long").alias("quota"))
 
 
 def blueprint_weights(spark: SparkSession, sf_dir: str) -> DataFrame:

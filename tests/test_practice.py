@@ -1,8 +1,13 @@
+import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from gradewright.operators.practice import break_cycles, nearest, ramp, ring_groups, token_batches
+from gradewright.plans.practice import concept_quotas
+
+T0 = dt.datetime(2030, 1, 1)
 
 
 def _acyclic(edges):
@@ -67,3 +72,17 @@ def test_ring_groups(spark):
     for r in sorted(got, key=lambda r: (r.g, r.ring, r.place)):
         rings.setdefault((r.g, r.ring), []).append(r.id)
     assert rings == {(1, 0): [0, 1, 2, 3], (1, 1): [4, 5, 6, 7], (1, 2): [8, 9, 0, 1], (2, 0): [0, 1, 2]}
+
+
+@pytest.mark.parametrize("n,floor", [(20, 3), (666, 3), (667, 0), (700, 0), (2500, 0)])
+def test_quotas_of_large_courses(spark, tmp_path, n, floor):
+    spark.createDataFrame([(i, 5, T0) for i in range(n)] + [(9_000, 6, T0)], "concept_id long, course_id long, updated_at timestamp").write.parquet(f"{tmp_path}/concept_drafts.parquet")
+    theta = [(i, i % 3 - 2.0) for i in range(0, n, 2)]
+    spark.createDataFrame([(i, "u", i, t, T0) for i, t in theta], "attempt_id long, user_id string, concept_id long, theta_after double, created_at timestamp").write.parquet(f"{tmp_path}/attempt_outcomes.parquet")
+    got = {(r.course_id, r.concept_id): r.quota for r in concept_quotas(spark, str(tmp_path)).collect()}
+    mastery = dict((i, 1 / (1 + 2.718281828459045 ** (0.3 - t))) for i, t in theta)
+    w = [round(1 - mastery.get(i, 0.0), 6) for i in range(n)]
+    rest = 2000 - floor * n
+    share = [round(x / sum(w) * rest, 9) for x in w]
+    up = sorted(range(n), key=lambda i: (-round(share[i] - int(share[i]), 6), i))[: rest - sum(map(int, share))]
+    assert got == {(5, i): floor + int(share[i]) + (i in set(up)) for i in range(n)} | {(6, 9_000): 2000}
