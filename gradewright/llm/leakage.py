@@ -17,8 +17,6 @@ from gradewright.llm.words import gram_hashes
 RUN, SEED = 12, 5
 #: Share of an item's words that an edited copy must have aligned.
 SHARE = 0.6
-#: Share of the documents that a seed may stand in to point to an edited copy.
-RARE = 0.0005
 #: Words of the items handled at a time; more items are handled in blocks, each against all documents.
 BLOCK_WORDS = 200_000
 
@@ -42,6 +40,7 @@ class _Items:
         self.seed = seed
         self.grams = {k: gram_hashes(w.astype(np.uint64) + np.uint64(1), seed) for k, w in self.words.items()}
         self.known = np.unique(np.concatenate(list(self.grams.values()))) if self.grams else np.empty(0, np.uint64)
+        self.bags = {k: np.unique(w, return_counts=True) for k, w in self.words.items()}
 
     def number(self, words: list[bytes]) -> np.ndarray:
         get = self.vocabulary.get
@@ -79,23 +78,21 @@ def _frequency_batches(items: _Items):
     return run
 
 
-def rare_seeds(items: _Items, frequency: dict[int | None, int], run: int, rare: float = RARE) -> dict[int, list[tuple[int, int]]]:
-    """Seed hash to (item, position), for every window of ``run`` words of an item.
+def chosen_seeds(items: _Items, frequency: dict[int | None, int], run: int, edited: bool) -> dict[int, list[tuple[int, int]]]:
+    """Seed hash to (item, position): with ``edited`` every seed that stands in a document, else the rarest of every window of ``run`` words.
 
-    If all seeds of the window stand in documents, the rarest of them is taken, however common it may be: a document with the window has
-    it. Else no document has the window, and only seeds of at most the share ``rare`` of the documents are taken, for edited copies.
+    A document with the whole window has its rarest seed, and no document has a window of which a seed stands nowhere. An edited copy may
+    keep any of the seeds, so none that occurs may be left out for it, however common it is or however rare another of its window.
     """
     out: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    none, most = 1 << 62, max(1, int(frequency.get(None, 0) * rare))
+    none = 1 << 62
     for key, grams in items.grams.items():
         df = np.array([frequency.get(int(g), none) for g in grams.view(np.int64)])
-        width = min(run - items.seed + 1, len(grams))
-        chosen = set()
-        for a in range(len(grams) - width + 1):
-            window = df[a:a + width]
-            at = a + int(np.argmin(window))
-            if df[at] <= most or window.max() < none:
-                chosen.add(at)
+        width = run - items.seed + 1
+        if edited:
+            chosen = np.flatnonzero(df < none).tolist()
+        else:
+            chosen = {a + int(np.argmin(df[a:a + width])) for a in range(len(grams) - width + 1) if df[a:a + width].max() < none}
         for at in chosen:
             out[int(grams[at])].append((key, at))
     return dict(out)
@@ -123,8 +120,18 @@ def align(passage: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
     return best, best // 2, longest
 
 
-def _leak_batches(items: _Items, seeds: dict[int, list[tuple[int, int]]], run_words: int, share: float):
+def _leak_batches(items: _Items, seeds: dict[int, list[tuple[int, int]]], run_words: int, share: float, edited: bool):
     among = np.array(sorted(seeds), dtype=np.uint64)
+    keys = sorted(items.words)
+    number = {k: j for j, k in enumerate(keys)}
+    places = [x for g in among.tolist() for x in seeds[g]]
+    first = np.concatenate([[0], np.cumsum([len(seeds[g]) for g in among.tolist()])]).astype(np.int64)
+    owner, place = np.array([number[k] for k, _ in places], np.int64), np.array([p for _, p in places], np.int64)
+
+    def common(count: np.ndarray, key: int) -> int:
+        """How many of the item's words, each as often as it stands there, are among the counted ones."""
+        word, n = items.bags[key]
+        return int(np.minimum(count[word], n).sum())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,20 +141,33 @@ def _leak_batches(items: _Items, seeds: dict[int, list[tuple[int, int]]], run_wo
                 at, h = items.hits(ids, among)
                 if not len(at):
                     continue
-                by_item: dict[int, set[int]] = defaultdict(set)
-                for pos, g in zip(at.tolist(), h.tolist()):
-                    for item, place in seeds[g]:
-                        by_item[item].add(pos - place)  # where the item would begin
-                for item, begins in by_item.items():
+                g = np.searchsorted(among, h)
+                many = first[g + 1] - first[g]
+                entry = np.repeat(first[g] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+                found_in, starts = owner[entry], np.repeat(at, many) - place[entry]  # where the item would begin
+                order = np.lexsort((starts, found_in))
+                found_in, starts = found_in[order], starts[order]
+                cuts = np.flatnonzero(np.diff(found_in)) + 1
+                count = np.bincount(ids[ids >= 0], minlength=len(items.vocabulary))
+                for which, begins in zip(found_in[np.concatenate([[0], cuts])].tolist(), np.split(starts, cuts)):
+                    item = keys[which]
                     own = items.words[item]
                     n, found = len(own), (0, 0, 0)
+                    begins, hits = np.unique(begins, return_counts=True)
+                    # With all seeds, a verbatim run has each of its own on one diagonal.
+                    verbatim = not edited or hits.max() > run_words - items.seed
+                    if not verbatim and common(count, item) < share * n:
+                        continue
                     spans: list[list[int]] = []
-                    for b in sorted(begins):
+                    for b in begins.tolist():
                         a, z = max(0, b - n // 4), min(len(ids), b + n + n // 4)
                         if spans and a <= spans[-1][1]:
                             spans[-1][1] = z
                         else:
                             spans.append([a, z])
+                    # An alignment matches no more words than passage and item have in common.
+                    if not verbatim and all(common(np.bincount(ids[a:z][ids[a:z] >= 0], minlength=len(count)), item) < share * n for a, z in spans):
+                        continue
                     for a, z in spans:
                         found = tuple(map(max, found, align(ids[a:z], own)))
                     if found[2] >= run_words or found[1] >= share * n:
@@ -159,14 +179,15 @@ def _leak_batches(items: _Items, seeds: dict[int, list[tuple[int, int]]], run_wo
     return run
 
 
-def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, seed: int = SEED, share: float = SHARE, block_words: int = BLOCK_WORDS) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, seed: int = SEED, share: float = SHARE, block_words: int = BLOCK_WORDS, edited: bool = True) -> DataFrame:
     """(doc_id, item_id, score, matched, longest_run, share): documents that give an item away, whole, in part or edited.
 
     documents (doc_id, text), items (item_id, text). Words are runs of a-z and 0-9 of the lower-cased text.
-    One pass counts in how many documents each run of ``seed`` words of an item stands; of every window of ``run``
-    item words the rarest becomes a seed. A second pass finds the seeds and aligns the passage around them
-    with the item. A row is a verbatim run of ``run`` words, which no seed choice can miss, or an alignment that
-    matches ``share`` of the item. Nothing of the documents is shuffled: the items, a stated query set, go to the
+    One pass counts in how many documents each run of ``seed`` words of an item stands. All that stand in one become seeds; without
+    ``edited``, only the rarest of every window of ``run`` item words. A second pass finds the seeds and aligns the passage around
+    them with the item, unless passage and item have too few words in common. A row is a verbatim run of ``run`` words, which
+    neither choice can miss, or, with ``edited``, an alignment that matches ``share`` of the item and keeps ``seed`` words in a row
+    somewhere; without, such rows may be missing. Nothing of the documents is shuffled: the items, a stated query set, go to the
     documents, in blocks of at most ``block_words`` words, so what is sent out is bounded.
 
     Null or empty texts have no leaks; items under ``seed`` words are left out; repeated rows of an item count
@@ -188,9 +209,9 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, seed: int = SE
         own = _Items(block, seed)
         counted = texts.select("text").mapInArrow(_frequency_batches(own), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
         frequency = {r["seed"]: r["n"] for r in counted.toLocalIterator()}  # at most one row a seed of the block
-        seeds = rare_seeds(own, frequency, run)
+        seeds = chosen_seeds(own, frequency, run, edited)
         part = texts.mapInArrow(
-            _leak_batches(own, seeds, run, share), "doc_id long, item_id long, score long, matched long, longest_run long, share double"
+            _leak_batches(own, seeds, run, share, edited), "doc_id long, item_id long, score long, matched long, longest_run long, share double"
         )
         out = part if out is None else out.unionByName(part)
     return out.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("score", "matched", "longest_run", "share")])

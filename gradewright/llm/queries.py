@@ -116,13 +116,13 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return used.agg(F.count("*").alias("containers"), F.sum("n").alias("tokens"), (F.sum("n") / F.count("*") / CAPACITY).alias("used"))
 
 
-def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items"))
+def _leaks(spark: SparkSession, sf_dir: str, edited: bool = True) -> DataFrame:
+    return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items"), edited=edited)
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a verbatim run of an item."""
-    return _leaks(spark, sf_dir).filter(F.col("longest_run") >= RUN).select("doc_id", "item_id")
+    return _leaks(spark, sf_dir, edited=False).filter(F.col("longest_run") >= RUN).select("doc_id", "item_id")
 
 
 def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

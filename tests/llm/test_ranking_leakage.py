@@ -102,6 +102,17 @@ def test_edited_copies_are_found(spark):
     assert [(r.doc_id, r.item_id) for r in got] == [(1, 7)] and got[0].longest_run < 12 and got[0].share >= 0.6
 
 
+def test_edited_copies_in_a_third_of_the_documents_are_found(spark):
+    rng = random.Random(9)
+    item = [f"v{k}" for k in range(40)]
+    copies = [" ".join(["pad"] * rng.randrange(9) + [w if k % 9 else "other" for k, w in enumerate(item)]) for _ in range(30)]
+    rare = " ".join(w if k % 9 != 4 else "other" for k, w in enumerate(item))  # makes the rarest seed of a window one that the copies lack
+    rest = [" ".join(f"z{rng.randrange(90)}" for _ in range(50)) for _ in range(60)] + [" ".join(item[:10])]
+    df = spark.createDataFrame(list(enumerate([*copies, rare, *rest])), "doc_id long, text string")
+    got = leaks(df, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert {r.doc_id for r in got} == set(range(31)) and all(r.longest_run < 12 and r.share >= 0.6 for r in got)
+
+
 def test_no_documents_or_items(spark):
     docs, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     one = spark.createDataFrame([(1, " ".join("abcdefghijklmnop"))], "doc_id long, text string")
