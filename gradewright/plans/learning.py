@@ -142,14 +142,27 @@ def discrimination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Priorities from each state's replayed stability and misconception flag, as in replay_stability and misconception_flags.
+
+    Both folds are closed forms over windows. Stability s = max(floor, s * factor) is, in logarithms, a sum reflected at the floor. A flag
+    is open if a sure and wrong answer stands after the last two sure and right ones in a row, unsure right ones aside.
+    """
     rows = attempts(spark, sf_dir, "user_id", "concept_id", "theta_after", "created_at", "correct", "confidence")
     now = rows.agg(F.max("created_at")).scalar()
+    right, sure = F.coalesce("correct", F.lit(False)), F.coalesce(F.col("confidence") == "sure", F.lit(False))
+    upto, before = _pair().rowsBetween(Window.unboundedPreceding, 0), _pair().rowsBetween(Window.unboundedPreceding, -1)
+    grown = F.sum(F.log(L.stability_factor(F.col("theta_after"), F.col("correct"), F.col("confidence")))).over(upto)
+    rows = rows.withColumn("at", F.struct("created_at", "attempt_id")).withColumn("grown", F.coalesce(grown, F.lit(0.0)))
+    rows = rows.withColumn("opens", ~right & sure).withColumn("proves", F.when(right & sure, True).when(~right, False))
+    rows = rows.withColumn("clears", F.col("proves") & F.last("proves", ignorenulls=True).over(before))
     state = rows.groupBy("user_id", "concept_id").agg(
-        F.max_by("theta_after", F.struct("created_at", "attempt_id")).alias("theta"), F.max("created_at").alias("seen"), F.count("*").alias("n"),
-        F.max_by(~F.col("correct") & (F.coalesce("confidence", F.lit("guessing")) == "sure"), F.struct("created_at", "attempt_id")).alias("flag"),
+        F.max_by("theta_after", "at").alias("theta"), F.max("created_at").alias("seen"), F.count("*").alias("n"),
+        F.exp(F.max_by("grown", "at") + F.greatest(F.lit(0.0), F.log(F.lit(C.STABILITY_MIN)) - F.min("grown"))).alias("stability"),
+        F.max(F.when(F.col("opens"), F.col("at"))).alias("opened"), F.max(F.when(F.col("clears"), F.col("at"))).alias("cleared"),
     )
+    flag = F.col("opened").isNotNull() & (F.col("cleared").isNull() | (F.col("opened") > F.col("cleared")))
     days = L.days_between(now, F.col("seen"))
-    return state.select("user_id", "concept_id", F.round(L.priority(F.col("theta"), F.lit(30.0), days, F.col("flag"), F.col("n")), 6).alias("priority"))
+    return state.select("user_id", "concept_id", F.round(L.priority(F.col("theta"), F.col("stability"), days, flag, F.col("n")), 6).alias("priority"))
 
 
 def priority_rank(spark: SparkSession, sf_dir: str) -> DataFrame:

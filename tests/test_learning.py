@@ -9,6 +9,7 @@ from gradewright.functions import learning as L
 from gradewright.operators import fold
 from gradewright.operators.apportion import largest_remainder, softmax_sample
 from gradewright.operators.rank import global_rank
+from gradewright.plans.learning import _priorities
 
 T0 = dt.datetime(2030, 1, 1)
 
@@ -102,3 +103,25 @@ def test_global_rank(spark):
     got = {r.id: r["rank"] for r in global_rank(spark.createDataFrame(rows, "id long, v double"), [F.desc("v"), F.asc("id")]).collect()}
     assert got == {i: k for k, (i, _) in enumerate(sorted(rows, key=lambda x: (-x[1], x[0])), 1)}
     assert global_rank(spark.createDataFrame([], "v double"), [F.asc("v")]).count() == 0
+
+
+def test_priorities_use_stability_and_flag_of_every_state(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [
+        (i, rng.choice(["u1", "u2", None]), rng.randrange(25), rng.uniform(-2, 2), rng.random() < 0.5, rng.choice(["sure", "sure", "unsure", None]), T0 + dt.timedelta(hours=i // 2))
+        for i in range(600)
+    ]
+    schema = "attempt_id long, user_id string, concept_id long, theta_after double, correct boolean, confidence string, created_at timestamp"
+    spark.createDataFrame(random.Random(4).sample(rows + rows[:50], 650), schema).write.parquet(f"{tmp_path}/attempt_outcomes.parquet")
+    states = {}
+    for _, u, c, theta, ok, conf, at in rows:
+        s, flag, n = states.get((u, c), (1.0, 0, 0, 0, 0))[:3]
+        w, m = fold.weight(ok, conf), 1 / (1 + math.exp(0.3 - theta))
+        factor = 1 + (C.GROW_BASE + (C.GROW_MASTERY - C.GROW_BASE) * m - 1) * w if ok else C.FAIL_MULT / w
+        states[u, c] = (max(C.STABILITY_MIN, s * factor), fold.misconception_step(flag, ok, conf), n + 1, m, at)
+    want = {
+        k: C.WEIGHT_WEAK * (1 - m) + C.WEIGHT_OVERDUE * (1 - math.exp(-(rows[-1][6] - at).total_seconds() / 86400 / s)) + C.WEIGHT_MISCONCEPTION * (flag > 0) + C.WEIGHT_NOVELTY / (1 + n)
+        for k, (s, flag, n, m, at) in states.items()
+    }
+    got = {(r.user_id, r.concept_id): r.priority for r in _priorities(spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
