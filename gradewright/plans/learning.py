@@ -205,7 +205,7 @@ def expected_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("user_id").agg(F.round(F.sum(L.expected_value(p, F.col("marks"))), 4).alias("expected"), F.round(F.sum("marks"), 4).alias("out_of"))
 
 
-def bootstrap_band(spark: SparkSession, sf_dir: str, draws: int = 100) -> DataFrame:
+def bootstrap_band(spark: SparkSession, sf_dir: str, draws: int = 1000) -> DataFrame:
     """2.5 and 97.5 % points of every learner's score over repeated draws of ability and answers.
 
     Uniforms hang on learner, question and draw alone; an ability is drawn once a concept and draw.
@@ -213,7 +213,7 @@ def bootstrap_band(spark: SparkSession, sf_dir: str, draws: int = 100) -> DataFr
     items = attempts(spark, sf_dir, "user_id", "question_id", "concept_id", "theta_after", "q_rating_before", "created_at").filter("q_rating_before is not null and user_id is not null")
     per = Window.partitionBy("user_id", "concept_id")
     items = items.withColumn("se", C.SE_BASE / F.sqrt(1.0 + F.count("*").over(per))).withColumn("theta", F.last("theta_after").over(_pair().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    drawn = items.select("user_id", "question_id", "attempt_id", "concept_id", "theta", "se", "q_rating_before", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("b"))
+    drawn = items.select("user_id", "attempt_id", "concept_id", "theta", "se", "q_rating_before", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("b"))
     u = lambda tag, *c: L.hashed_uniform(F.lit(tag), *[F.col(x) for x in c], F.col("b"))
     z = F.sqrt(-2 * F.log(u("r", "user_id", "concept_id"))) * F.cos(6.283185307179586 * u("a", "user_id", "concept_id"))
     p = L.logistic(F.col("theta") + F.col("se") * z - F.col("q_rating_before"))

@@ -1,7 +1,9 @@
 import datetime as dt
+import hashlib
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from gradewright import config as C
@@ -9,7 +11,7 @@ from gradewright.functions import learning as L
 from gradewright.operators import fold
 from gradewright.operators.apportion import largest_remainder, softmax_sample
 from gradewright.operators.rank import global_rank
-from gradewright.plans.learning import _priorities
+from gradewright.plans.learning import _priorities, bootstrap_band
 
 T0 = dt.datetime(2030, 1, 1)
 
@@ -125,3 +127,25 @@ def test_priorities_use_stability_and_flag_of_every_state(spark, tmp_path):
     }
     got = {(r.user_id, r.concept_id): r.priority for r in _priorities(spark, str(tmp_path)).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+def test_band_rests_on_a_thousand_draws(spark, tmp_path):
+    rows = [(i, f"u{i % 2}", i, i % 3, 0.1 * (i % 5), 0.2 * (i % 7) - 0.6, T0 + dt.timedelta(hours=i)) for i in range(24)]
+    schema = "attempt_id long, user_id string, question_id long, concept_id long, theta_after double, q_rating_before double, created_at timestamp"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/attempt_outcomes.parquet")
+
+    def u(*parts):
+        return (int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16) + 0.5) / 2**32
+
+    last = {(r[1], r[3]): r[4] for r in rows}
+    n = {k: sum((r[1], r[3]) == k for r in rows) for k in last}
+    scores = {user: np.zeros(1000) for user in ("u0", "u1")}
+    for attempt, user, _, concept, _, q, _ in rows:
+        for b in range(1, 1001):
+            z = math.sqrt(-2 * math.log(u("r", user, concept, b))) * math.cos(2 * math.pi * u("a", user, concept, b))
+            p = 1 / (1 + math.exp(q - last[user, concept] - C.SE_BASE / math.sqrt(1 + n[user, concept]) * z))
+            scores[user][b - 1] += 0 if p < 0.2 else 1 if u("x", user, attempt, b) < p else -0.25
+    got = {r.user_id: (r.low, r.high, r.mean) for r in bootstrap_band(spark, str(tmp_path)).collect()}
+    assert got.keys() == scores.keys()
+    for user, s in scores.items():
+        assert np.allclose(got[user], [*np.percentile(s, [2.5, 97.5]), s.mean()], atol=1e-6)
