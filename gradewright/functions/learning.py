@@ -74,6 +74,23 @@ def hashed_uniform(*parts: Column) -> Column:
     return (head + 0.5) / 4294967296.0
 
 
+def seed(*parts: Column) -> Column:
+    """A whole number of 32 bits that depends on the parts only."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("long")
+
+
+def counted_uniform(start: Column, n: Column) -> Column:
+    """The n-th number in (0, 1) of a seed: n steps of 2^32 / golden ratio, then two rounds of xor-shift and multiplication in 32 bits.
+
+    Plain integer arithmetic, the same on every engine; no digest a number.
+    """
+    mask = F.lit(4294967295)
+    x = (start + n.cast("long") * F.lit(2654435769)).bitwiseAND(mask)
+    for _ in range(2):
+        x = (x.bitwiseXOR(F.shiftright(x, 16)) * F.lit(73244475)).bitwiseAND(mask)
+    return (x.bitwiseXOR(F.shiftright(x, 16)) + 0.5) / 4294967296.0
+
+
 def expected_value(p: Column, marks: Column) -> Column:
     """Marks expected from an item that is attempted only above break-even."""
     gain = p * marks - (1 - p) * C.NEGATIVE * marks

@@ -6,9 +6,14 @@ import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from gradewright import config as C
+from gradewright.functions import learning as L
+
+#: Attempts of a pair that are folded as one array.
+GATHERED = 1_000
 
 
 def ordered_fold(events: DataFrame, keys: list[str], order: list[str], start: Callable, step: Callable, finish: Callable, schema: str) -> DataFrame:
@@ -88,26 +93,57 @@ def ability_fold(attempts: DataFrame) -> DataFrame:
     )
 
 
+def _days(events: DataFrame) -> tuple[DataFrame, Window, Window]:
+    """events with their day; the order within a day of a learner and concept, and that of the days.
+
+    Folds that can be said day by day are: a learner on one concept with a third of all attempts is then split by days.
+    """
+    day = events.withColumn("day", F.to_date("created_at"))
+    within = Window.partitionBy("user_id", "concept_id", "day").orderBy("created_at", "attempt_id")
+    return day, within, Window.partitionBy("user_id", "concept_id").orderBy("day")
+
+
 def stability_fold(attempts: DataFrame) -> DataFrame:
-    """(user_id, concept_id, stability, n) after all attempts, from 1; needs (user_id, concept_id, factor, created_at, attempt_id)."""
-    return ordered_fold(
-        attempts, ["user_id", "concept_id"], ["created_at", "attempt_id"], lambda: (1.0, 0),
-        lambda s, row: s if row.factor is None else (max(C.STABILITY_MIN, s[0] * row.factor), s[1] + 1),
-        lambda key, s: [(*key, *s)], "user_id string, concept_id long, stability double, n long",
+    """(user_id, concept_id, stability, n) after all attempts, from 1; needs (user_id, concept_id, factor, created_at, attempt_id).
+
+    s = max(floor, s * factor) is, in logarithms, a sum reflected at the floor: the sum, and how far it ever fell below the floor. Both
+    are found for every day and then over the days. Null factors are passed over; pairs without any other have stability 1 and n 0.
+    """
+    rows, within, over = _days(attempts.select("user_id", "concept_id", "factor", "created_at", "attempt_id"))
+    grown = F.sum(F.coalesce(F.log("factor"), F.lit(0.0))).over(within)
+    daily = rows.withColumn("g", grown).groupBy("user_id", "concept_id", "day").agg(
+        F.max_by("g", F.struct("created_at", "attempt_id")).alias("sum"), F.min("g").alias("low"), F.count("factor").alias("n")
+    )
+    upto = F.sum("sum").over(over)
+    total = daily.select("user_id", "concept_id", "day", "n", upto.alias("sum"), (F.col("low") + upto - F.col("sum")).alias("low")).groupBy("user_id", "concept_id").agg(
+        F.max_by("sum", F.coalesce("day", F.lit("0001-01-01").cast("date"))).alias("sum"), F.min("low").alias("low"), F.sum("n").alias("n")
     )
+    return total.select("user_id", "concept_id", F.exp(F.col("sum") + F.greatest(F.lit(0.0), F.lit(math.log(C.STABILITY_MIN)) - F.col("low"))).alias("stability"), "n")
 
 
-def seed_fold(attempts: DataFrame) -> DataFrame:
-    """(user_id, concept_id, theta, n): abilities from 0 with a constant learning rate against fixed question ratings."""
+def seed_fold(attempts: DataFrame, gathered: int = GATHERED) -> DataFrame:
+    """(user_id, concept_id, theta, n): abilities from 0 with a constant learning rate against fixed question ratings.
 
-    def step(s, row):
-        gap = (1.0 if row.correct else 0.0) - _sigma(s[0] - (row.q or 0.0))
-        return _clamp(s[0] + C.DIAGNOSTIC_K * weight(row.correct, row.confidence) * gap), s[1] + 1
+    Needs (user_id, concept_id, correct, confidence, q, created_at, attempt_id). Attempts with a null outcome are passed over. Pairs of up to ``gathered`` attempts
+    are folded as sorted arrays; pairs with more are streamed, with the same result.
+    """
+    rows = attempts.filter("correct is not null").select(
+        "user_id", "concept_id", "created_at", "attempt_id", F.coalesce("q", F.lit(0.0)).alias("q"), F.col("correct").cast("double").alias("y"), L.confidence_weight(F.col("correct"), F.col("confidence")).alias("w")
+    ).withColumn("m", F.count("*").over(Window.partitionBy("user_id", "concept_id")))
 
-    return ordered_fold(
-        attempts, ["user_id", "concept_id"], ["created_at", "attempt_id"], lambda: (0.0, 0), step, lambda key, s: [(*key, *s)],
+    def one(theta, e):
+        return L.clamp(theta + C.DIAGNOSTIC_K * e["w"] * (e["y"] - L.logistic(theta - e["q"])), -C.THETA_MAX, C.THETA_MAX)
+
+    log = F.array_sort(F.collect_list(F.struct("created_at", "attempt_id", "q", "y", "w")))
+    few = rows.filter(F.col("m") <= gathered).groupBy("user_id", "concept_id").agg(log.alias("log")).select(
+        "user_id", "concept_id", F.aggregate("log", F.lit(0.0), one).alias("theta"), F.size("log").cast("long").alias("n")
+    )
+    many = ordered_fold(
+        rows.filter(F.col("m") > gathered).drop("m"), ["user_id", "concept_id"], ["created_at", "attempt_id"], lambda: (0.0, 0),
+        lambda s, r: (_clamp(s[0] + C.DIAGNOSTIC_K * r.w * (r.y - _sigma(s[0] - r.q))), s[1] + 1), lambda key, s: [(*key, *s)],
         "user_id string, concept_id long, theta double, n long",
     )
+    return few.unionByName(many)
 
 
 def misconception_step(state: int, correct: bool, confidence: str | None) -> int:
@@ -119,8 +155,27 @@ def misconception_step(state: int, correct: bool, confidence: str | None) -> int
 
 
 def misconception_fold(attempts: DataFrame) -> DataFrame:
-    """(user_id, concept_id, flag) after all attempts."""
-    return ordered_fold(
-        attempts, ["user_id", "concept_id"], ["created_at", "attempt_id"], lambda: 0,
-        lambda s, row: misconception_step(s, row.correct, row.confidence), lambda key, s: [(*key, s)], "user_id string, concept_id long, flag int",
+    """(user_id, concept_id, flag) after all attempts, as by misconception_step.
+
+    A sure and wrong answer opens; a sure and right one clears if the last answer before it that was wrong, or right and sure, was the
+    latter. The flag is open if the last opening stands behind the last clearing, and is 2 if the last such answer was right and sure.
+    Openings, clearings and the first and last such answers are found for every day, then over the days. Attempts with a null
+    outcome are passed over; a pair with no others has no flag.
+    """
+    rows, within, over = _days(attempts.select("user_id", "concept_id", "correct", "confidence", "created_at", "attempt_id"))
+    sure = F.coalesce(F.col("confidence") == "sure", F.lit(False))
+    proves = F.when(F.col("correct") & sure, True).when(~F.col("correct"), False)
+    rows = rows.withColumn("at", F.struct("created_at", "attempt_id")).withColumn("proves", proves)
+    rows = rows.withColumn("before", F.last("proves", ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, -1)))
+    told = F.col("proves").isNotNull()
+    daily = rows.groupBy("user_id", "concept_id", "day").agg(
+        F.max(F.when(~F.col("correct") & sure, F.col("at"))).alias("opened"), F.max(F.when(F.col("proves") & F.col("before"), F.col("at"))).alias("cleared"),
+        F.min(F.when(told, F.struct("at", "proves"))).alias("first"), F.max(F.when(told, F.struct("at", "proves"))).alias("last"),
+    )
+    earlier = F.last("last.proves", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1))
+    joins = F.when(F.col("first.proves") & earlier, F.col("first.at"))
+    state = daily.select("user_id", "concept_id", "opened", F.greatest("cleared", joins).alias("cleared"), "last").groupBy("user_id", "concept_id").agg(
+        F.max("opened").alias("opened"), F.max("cleared").alias("cleared"), F.max("last").alias("last")
     )
+    is_open = F.col("opened").isNotNull() & (F.col("cleared").isNull() | (F.col("opened") > F.col("cleared")))
+    return state.select("user_id", "concept_id", F.when(is_open, F.when(F.col("last.proves"), 2).otherwise(1)).otherwise(0).alias("flag"))

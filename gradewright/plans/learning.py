@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradewright import config as C
@@ -70,7 +70,7 @@ def misconception_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = attempts(spark, sf_dir, "user_id", "concept_id", "theta_after", "correct", "confidence", "created_at")
+    rows = attempts(spark, sf_dir, "user_id", "concept_id", "theta_after", "correct", "confidence", "created_at").filter("correct is not null")
     return rows.select("user_id", "concept_id", "attempt_id", "created_at", L.stability_factor(F.col("theta_after"), F.col("correct"), F.col("confidence")).alias("factor"))
 
 
@@ -142,27 +142,17 @@ def discrimination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Priorities from each state's replayed stability and misconception flag, as in replay_stability and misconception_flags.
-
-    Both folds are closed forms over windows. Stability s = max(floor, s * factor) is, in logarithms, a sum reflected at the floor. A flag
-    is open if a sure and wrong answer stands after the last two sure and right ones in a row, unsure right ones aside.
-    """
-    rows = attempts(spark, sf_dir, "user_id", "concept_id", "theta_after", "created_at", "correct", "confidence")
+    """Priorities from each state's replayed stability and misconception flag, as in replay_stability and misconception_flags."""
+    rows = attempts(spark, sf_dir, "user_id", "concept_id", "theta_after", "created_at")
     now = rows.agg(F.max("created_at")).scalar()
-    right, sure = F.coalesce("correct", F.lit(False)), F.coalesce(F.col("confidence") == "sure", F.lit(False))
-    upto, before = _pair().rowsBetween(Window.unboundedPreceding, 0), _pair().rowsBetween(Window.unboundedPreceding, -1)
-    grown = F.sum(F.log(L.stability_factor(F.col("theta_after"), F.col("correct"), F.col("confidence")))).over(upto)
-    rows = rows.withColumn("at", F.struct("created_at", "attempt_id")).withColumn("grown", F.coalesce(grown, F.lit(0.0)))
-    rows = rows.withColumn("opens", ~right & sure).withColumn("proves", F.when(right & sure, True).when(~right, False))
-    rows = rows.withColumn("clears", F.col("proves") & F.last("proves", ignorenulls=True).over(before))
+    key = lambda df, *c: df.select(F.coalesce("user_id", F.lit("")).alias("u"), F.col("user_id").isNull().alias("nu"), "concept_id", *c)
     state = rows.groupBy("user_id", "concept_id").agg(
-        F.max_by("theta_after", "at").alias("theta"), F.max("created_at").alias("seen"), F.count("*").alias("n"),
-        F.exp(F.max_by("grown", "at") + F.greatest(F.lit(0.0), F.log(F.lit(C.STABILITY_MIN)) - F.min("grown"))).alias("stability"),
-        F.max(F.when(F.col("opens"), F.col("at"))).alias("opened"), F.max(F.when(F.col("clears"), F.col("at"))).alias("cleared"),
+        F.max_by("theta_after", F.struct("created_at", "attempt_id")).alias("theta"), F.max("created_at").alias("seen"), F.count("*").alias("n")
     )
-    flag = F.col("opened").isNotNull() & (F.col("cleared").isNull() | (F.col("opened") > F.col("cleared")))
-    days = L.days_between(now, F.col("seen"))
-    return state.select("user_id", "concept_id", F.round(L.priority(F.col("theta"), F.col("stability"), days, flag, F.col("n")), 6).alias("priority"))
+    joined = key(state, "user_id", "theta", "seen", "n").join(key(fold.stability_fold(_factors(spark, sf_dir)), "stability"), ["u", "nu", "concept_id"], "left")
+    joined = joined.join(key(misconception_flags(spark, sf_dir), "flag"), ["u", "nu", "concept_id"], "left")
+    stability, flag = F.coalesce("stability", F.lit(1.0)), F.coalesce("flag", F.lit(0)) > 0
+    return joined.select("user_id", "concept_id", F.round(L.priority(F.col("theta"), stability, L.days_between(now, F.col("seen")), flag, F.col("n")), 6).alias("priority"))
 
 
 def priority_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,21 +195,33 @@ def expected_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("user_id").agg(F.round(F.sum(L.expected_value(p, F.col("marks"))), 4).alias("expected"), F.round(F.sum("marks"), 4).alias("out_of"))
 
 
+def _drawn(items: DataFrame, ability: list[str], answer: list[str], draws: int) -> tuple[DataFrame, Column]:
+    """items once a draw b, and the success of each: 1, 0, or null where p(success) is below break-even and the item is skipped.
+
+    items: (theta, se, q). An ability is drawn normally around theta once for the ``ability`` key, an answer once for the ``answer`` key. The
+    uniforms are counted from one digest a key, so a draw costs arithmetic only.
+    """
+    seeds = items.withColumns({"s1": L.seed(F.lit("r"), *map(F.col, ability)), "s2": L.seed(F.lit("a"), *map(F.col, ability)), "s3": L.seed(F.lit("x"), *map(F.col, answer))})
+    rows = seeds.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    u = [L.counted_uniform(F.col(c), F.col("b")) for c in ("s1", "s2", "s3")]
+    z = F.sqrt(-2 * F.log(u[0])) * F.cos(6.283185307179586 * u[1])
+    rows = rows.withColumn("p", L.logistic(F.col("theta") + F.col("se") * z - F.col("q")))
+    return rows, F.when(F.col("p") >= C.NEGATIVE / (1 + C.NEGATIVE), F.when(u[2] < F.col("p"), 1).otherwise(0))
+
+
 def bootstrap_band(spark: SparkSession, sf_dir: str, draws: int = 1000) -> DataFrame:
     """2.5 and 97.5 % points of every learner's score over repeated draws of ability and answers.
 
-    Uniforms hang on learner, question and draw alone; an ability is drawn once a concept and draw.
+    A learner's concepts stay together in 16 parts, so scores are summed before they are shuffled and a learner with a third of the log is split.
     """
-    items = attempts(spark, sf_dir, "user_id", "question_id", "concept_id", "theta_after", "q_rating_before", "created_at").filter("q_rating_before is not null and user_id is not null")
-    per = Window.partitionBy("user_id", "concept_id")
-    items = items.withColumn("se", C.SE_BASE / F.sqrt(1.0 + F.count("*").over(per))).withColumn("theta", F.last("theta_after").over(_pair().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    drawn = items.select("user_id", "attempt_id", "concept_id", "theta", "se", "q_rating_before", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("b"))
-    u = lambda tag, *c: L.hashed_uniform(F.lit(tag), *[F.col(x) for x in c], F.col("b"))
-    z = F.sqrt(-2 * F.log(u("r", "user_id", "concept_id"))) * F.cos(6.283185307179586 * u("a", "user_id", "concept_id"))
-    p = L.logistic(F.col("theta") + F.col("se") * z - F.col("q_rating_before"))
-    tried = p >= C.NEGATIVE / (1 + C.NEGATIVE)
-    mark = F.when(~tried, 0.0).when(u("x", "user_id", "attempt_id") < p, 1.0).otherwise(-C.NEGATIVE)
-    totals = drawn.withColumn("mark", mark).groupBy("user_id", "b").agg(F.sum("mark").alias("score"))
+    items = attempts(spark, sf_dir, "user_id", "concept_id", "theta_after", "q_rating_before", "created_at").filter("q_rating_before is not null and user_id is not null")
+    items = items.withColumn("part", F.pmod(F.xxhash64("concept_id"), F.lit(16))).repartition("user_id", "part")
+    per = Window.partitionBy("user_id", "part", "concept_id")
+    last = F.max_by("theta_after", F.struct("created_at", "attempt_id")).over(per)
+    items = items.select("user_id", "attempt_id", "concept_id", F.col("q_rating_before").alias("q"), (C.SE_BASE / F.sqrt(1.0 + F.count("*").over(per))).alias("se"), last.alias("theta"))
+    rows, right = _drawn(items, ["user_id", "concept_id"], ["user_id", "attempt_id"], draws)
+    mark = F.when(right == 1, 1.0).when(right == 0, -C.NEGATIVE).otherwise(0.0)
+    totals = rows.groupBy("user_id", "b").agg(F.sum(mark).alias("score"))
     return totals.groupBy("user_id").agg(
         F.round(F.percentile("score", F.lit(C.INTERVAL[0])), 6).alias("low"), F.round(F.percentile("score", F.lit(C.INTERVAL[1])), 6).alias("high"), F.round(F.avg("score"), 6).alias("mean")
     )
@@ -247,17 +249,34 @@ _A = """WITH RECURSIVE att AS (
 drafts AS (SELECT concept_id, course_id, chapter_id FROM (SELECT *, row_number() OVER (PARTITION BY concept_id ORDER BY updated_at DESC) AS rn FROM concept_drafts) WHERE rn = 1)
 """
 _W = "CASE WHEN correct THEN CASE confidence WHEN 'sure' THEN 1.0::DOUBLE WHEN 'unsure' THEN 0.7::DOUBLE ELSE 0.25::DOUBLE END ELSE CASE confidence WHEN 'sure' THEN 1.6::DOUBLE WHEN 'unsure' THEN 1.0::DOUBLE ELSE 0.6::DOUBLE END END"
-_PRIO = """, now AS (SELECT max(created_at) AS now FROM att),
+_FLAG = """list_reduce(list_prepend(0, list(CASE WHEN NOT correct AND confidence = 'sure' THEN 10 WHEN NOT correct THEN 12 WHEN confidence = 'sure' THEN 11 ELSE 13 END
+    ORDER BY created_at, attempt_id)), lambda s, e: CASE WHEN e = 10 THEN 1 WHEN e = 12 THEN CASE WHEN s > 0 THEN 1 ELSE 0 END WHEN e = 11 THEN CASE s WHEN 1 THEN 2 ELSE 0 END ELSE s END)::INT"""
+_STABILITY = "list_reduce(list_prepend(1.0::DOUBLE, list(factor ORDER BY created_at, attempt_id)), lambda s, x: greatest(0.5::DOUBLE, s * x))"
+_EV = f""", ev AS (
+  SELECT *, {_W} AS w, 1 / (1 + exp(-(theta_after - 0.3::DOUBLE))) AS m FROM att
+), f AS (SELECT *, CASE WHEN correct THEN 1 + (1.4::DOUBLE + 0.4::DOUBLE * m - 1) * w ELSE 0.35::DOUBLE / w END AS factor FROM ev)
+"""
+_PRIO = _EV + f""", now AS (SELECT max(created_at) AS now FROM att),
 state AS (
-  SELECT user_id, concept_id, arg_max(theta_after, (created_at, attempt_id)) AS theta, max(created_at) AS seen, count(*) AS n,
-    arg_max(NOT correct AND coalesce(confidence, 'guessing') = 'sure', (created_at, attempt_id)) AS flag
-  FROM att GROUP BY user_id, concept_id
+  SELECT user_id, concept_id, arg_max(theta_after, (created_at, attempt_id)) AS theta, max(created_at) AS seen, count(*) AS n, {_FLAG} > 0 AS flag, {_STABILITY} AS stability
+  FROM f GROUP BY user_id, concept_id
 ), prio AS (
-  SELECT user_id, concept_id, round(0.45::DOUBLE * (1 - 1 / (1 + exp(-(theta - 0.3::DOUBLE)))) + 0.30::DOUBLE * (1 - exp(-greatest(0.0::DOUBLE, (epoch_us(now) - epoch_us(seen)) / 8.64e10::DOUBLE) / 30.0::DOUBLE))
+  SELECT user_id, concept_id, round(0.45::DOUBLE * (1 - 1 / (1 + exp(-(theta - 0.3::DOUBLE)))) + 0.30::DOUBLE * (1 - exp(-greatest(0.0::DOUBLE, (epoch_us(now) - epoch_us(seen)) / 8.64e10::DOUBLE) / stability))
     + 0.20::DOUBLE * (CASE WHEN flag THEN 1.0 ELSE 0.0 END)::DOUBLE + 0.05::DOUBLE / (1 + n), 6) AS priority
   FROM state, now
 )"""
 
+def _seed(text: str) -> str:
+    return f"('0x' || substr(md5({text}), 1, 8))::BIGINT"
+
+
+def _uniform(start: str, n: str) -> str:
+    x = f"(({start} + {n} * 2654435769) & 4294967295)"
+    for _ in range(2):
+        x = f"((xor({x}, {x} >> 16) * 73244475) & 4294967295)"
+    return f"((xor({x}, {x} >> 16) + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
+
+
 SQL = {
     "attempt_index": _A + """SELECT attempt_id, row_number() OVER (PARTITION BY user_id, concept_id ORDER BY created_at, attempt_id) - 1 AS prior_on_concept,
   row_number() OVER (PARTITION BY question_id ORDER BY created_at, attempt_id) - 1 AS prior_on_question FROM att""",
@@ -265,14 +284,8 @@ SQL = {
     "last_seen": _A + "SELECT user_id, question_id, epoch_us(max(created_at)) AS last_seen_us, count(*) AS n FROM att GROUP BY user_id, question_id",
     "theta_as_of": _A + """SELECT attempt_id, round(coalesce(last_value(theta_after IGNORE NULLS) OVER (PARTITION BY user_id, concept_id ORDER BY created_at, attempt_id
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE), 6) AS theta_as_of FROM att""",
-    "misconception_flags": _A + """SELECT user_id, concept_id, list_reduce(list_prepend(0, list(CASE WHEN NOT correct AND confidence = 'sure' THEN 10 WHEN NOT correct THEN 12 WHEN confidence = 'sure' THEN 11 ELSE 13 END
-    ORDER BY created_at, attempt_id)), lambda s, e: CASE WHEN e = 10 THEN 1 WHEN e = 12 THEN CASE WHEN s > 0 THEN 1 ELSE 0 END WHEN e = 11 THEN CASE s WHEN 1 THEN 2 ELSE 0 END ELSE s END)::INT AS flag
-FROM att GROUP BY user_id, concept_id""",
-    "replay_stability": _A + f""", ev AS (
-  SELECT *, {_W} AS w, 1 / (1 + exp(-(theta_after - 0.3::DOUBLE))) AS m FROM att
-), f AS (SELECT *, CASE WHEN correct THEN 1 + (1.4::DOUBLE + 0.4::DOUBLE * m - 1) * w ELSE 0.35::DOUBLE / w END AS factor FROM ev)
-SELECT user_id, concept_id, round(list_reduce(list_prepend(1.0::DOUBLE, list(factor ORDER BY created_at, attempt_id)), lambda s, x: greatest(0.5::DOUBLE, s * x)), 6) AS stability, count(*) AS n
-FROM f GROUP BY user_id, concept_id""",
+    "misconception_flags": _A + f"SELECT user_id, concept_id, {_FLAG} AS flag FROM att GROUP BY user_id, concept_id",
+    "replay_stability": _A + _EV + f"SELECT user_id, concept_id, round({_STABILITY}, 6) AS stability, count(*) AS n FROM f GROUP BY user_id, concept_id",
     "diagnostic_seed": _A + f""", ev AS (
   SELECT user_id, concept_id, created_at, attempt_id, {{'t': 0.0::DOUBLE, 'q': coalesce(q_rating_before, 0.0)::DOUBLE, 'a': CASE WHEN correct THEN 1.0 ELSE 0.0 END::DOUBLE, 'w': ({_W})::DOUBLE}} AS e FROM att
 )
@@ -309,15 +322,12 @@ FROM att JOIN qs USING (question_id) WHERE session_id IS NOT NULL GROUP BY sessi
 SELECT user_id, attempt_id, row_number() OVER (PARTITION BY user_id ORDER BY worst, seen, seen_id, coalesce(case_position, 0), created_at, attempt_id) AS place FROM p""",
     "expected_marks": _A + """, p AS (SELECT user_id, marks, 1 / (1 + exp(-(theta_before - q_rating_before))) AS p FROM att JOIN qs USING (question_id) WHERE theta_before IS NOT NULL AND q_rating_before IS NOT NULL)
 SELECT user_id, round(sum(CASE WHEN p >= 0.2::DOUBLE THEN p * marks - (1 - p) * 0.25::DOUBLE * marks ELSE 0.0 END), 4) AS expected, round(sum(marks), 4) AS out_of FROM p GROUP BY user_id""",
-    "bootstrap_band": _A + """, it AS (
-  SELECT user_id, attempt_id, concept_id, q_rating_before, 1.2::DOUBLE / sqrt(1.0::DOUBLE + count(*) OVER (PARTITION BY user_id, concept_id)) AS se,
+    "bootstrap_band": _A + f""", it AS (
+  SELECT user_id, attempt_id, concept_id, q_rating_before AS q, 1.2::DOUBLE / sqrt(1.0::DOUBLE + count(*) OVER (PARTITION BY user_id, concept_id)) AS se,
     last_value(theta_after) OVER (PARTITION BY user_id, concept_id ORDER BY created_at, attempt_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS theta
   FROM att WHERE q_rating_before IS NOT NULL AND user_id IS NOT NULL
-), d AS (SELECT it.*, b.b FROM it, (SELECT unnest(generate_series(1, 100)) AS b) b),
-u AS (SELECT *, (('0x' || substr(md5('r|' || user_id || '|' || concept_id || '|' || b), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u1,
-  (('0x' || substr(md5('a|' || user_id || '|' || concept_id || '|' || b), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u2,
-  (('0x' || substr(md5('x|' || user_id || '|' || attempt_id || '|' || b), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u3 FROM d),
-p AS (SELECT user_id, b, u3, 1 / (1 + exp(-(theta + se * sqrt(-2 * ln(u1)) * cos(6.283185307179586::DOUBLE * u2) - q_rating_before))) AS p FROM u),
+), d AS (SELECT it.*, b, {_seed("'r|' || user_id || '|' || concept_id")} AS s1, {_seed("'a|' || user_id || '|' || concept_id")} AS s2, {_seed("'x|' || user_id || '|' || attempt_id")} AS s3 FROM it, (SELECT unnest(generate_series(1, 1000)) AS b) b),
+p AS (SELECT user_id, b, {_uniform("s3", "b")} AS u3, 1 / (1 + exp(-(theta + se * sqrt(-2 * ln({_uniform("s1", "b")})) * cos(6.283185307179586::DOUBLE * {_uniform("s2", "b")}) - q))) AS p FROM d),
 t AS (SELECT user_id, b, sum(CASE WHEN p < 0.2::DOUBLE THEN 0.0 WHEN u3 < p THEN 1.0 ELSE -0.25 END)::DOUBLE AS score FROM p GROUP BY user_id, b)
 SELECT user_id, round(quantile_cont(score, 0.025), 6) AS low, round(quantile_cont(score, 0.975), 6) AS high, round(avg(score), 6) AS mean FROM t GROUP BY user_id""",
     "chapter_seats": _A + """, c AS (SELECT course_id, chapter_id, count(*) AS n FROM drafts WHERE chapter_id IS NOT NULL GROUP BY course_id, chapter_id),

@@ -104,8 +104,8 @@ def concept_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def difficulty_ramp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The questions of every caselet, easy ones first, chapters alternating."""
     where = _drafts(spark, sf_dir, "chapter_id").select("concept_id", "chapter_id")
-    q = questions(spark, sf_dir, "case_group_id", "concept_id", "difficulty").filter("case_group_id is not null").join(where, "concept_id", "left")
-    return practice.ramp(q.select("case_group_id", F.col("question_id").alias("id"), F.col("chapter_id").alias("chapter"), "difficulty"), "case_group_id")
+    q = questions(spark, sf_dir, "case_group_id", "concept_id", "difficulty", "q_rating").filter("case_group_id is not null").join(where, "concept_id", "left")
+    return practice.ramp(q.select("case_group_id", F.col("question_id").alias("id"), F.col("chapter_id").alias("chapter"), "difficulty", F.col("q_rating").alias("rating")), "case_group_id")
 
 
 def merged_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,10 +214,11 @@ FROM att JOIN qs USING (question_id) WHERE chosen_key IS NOT NULL GROUP BY quest
     "concept_quotas": _Q + """, st AS (SELECT concept_id, avg(1 / (1 + exp(-(theta - 0.3::DOUBLE)))) AS m FROM la GROUP BY 1),
 p AS (SELECT concept_id, course_id, coalesce(m, 0.0) AS m FROM dr LEFT JOIN st USING (concept_id) WHERE coalesce(m, 0.0) < 0.9::DOUBLE),
 n AS (SELECT *, round(1 - m, 6) AS w, count(*) OVER (PARTITION BY course_id) AS n FROM p),
-q AS (SELECT *, round(w / sum(w) OVER (PARTITION BY course_id) * (2000 - 3 * n), 9) AS q FROM n WHERE n * 3 < 2000),
+k AS (SELECT *, CASE WHEN n * 3 < 2000 THEN 3 ELSE 0 END AS least FROM n),
+q AS (SELECT *, round(w / sum(w) OVER (PARTITION BY course_id) * (2000 - least * n), 9) AS q FROM k),
 f AS (SELECT *, floor(q) AS f FROM q),
-r AS (SELECT *, 2000 - 3 * n - sum(f) OVER (PARTITION BY course_id) AS rest, row_number() OVER (PARTITION BY course_id ORDER BY round(q - f, 6) DESC, concept_id) AS place FROM f)
-SELECT course_id, concept_id, (3 + f + CASE WHEN place <= rest THEN 1 ELSE 0 END)::BIGINT AS quota FROM r""",
+r AS (SELECT *, 2000 - least * n - sum(f) OVER (PARTITION BY course_id) AS rest, row_number() OVER (PARTITION BY course_id ORDER BY round(q - f, 6) DESC, concept_id) AS place FROM f)
+SELECT course_id, concept_id, (least + f + CASE WHEN place <= rest THEN 1 ELSE 0 END)::BIGINT AS quota FROM r""",
     "blueprint_weights": _Q + """, c AS (SELECT chapter_id, count(*) AS c FROM dr WHERE review_status IN ('accepted', 'edited', 'merged') GROUP BY 1),
 b AS (SELECT course_id, chapter_id, ordinal, greatest(1, coalesce(c, 0))::DOUBLE AS b FROM chapters LEFT JOIN c USING (chapter_id))
 SELECT course_id, chapter_id, round(CASE WHEN ordinal = 1 THEN 0.1::DOUBLE ELSE 0.9::DOUBLE * b / sum(CASE WHEN ordinal > 1 THEN b ELSE 0.0 END) OVER (PARTITION BY course_id) END, 6) AS weight FROM b""",
@@ -238,8 +239,8 @@ SELECT user_id, concept_id, round(e / sum(e) OVER (PARTITION BY user_id), 6) AS
   WHERE theta_before IS NOT NULL AND correct IS NOT NULL GROUP BY 1) SELECT concept_id, n, round(CASE WHEN sx > 1e-9 AND sy > 1e-9 THEN c / sx / sy ELSE 0.0 END, 6) AS r FROM g""",
     "usual_confidence": _Q + """, n AS (SELECT user_id, confidence, count(*) AS n FROM att WHERE confidence IS NOT NULL GROUP BY 1, 2)
 SELECT user_id, confidence, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, confidence) AS r FROM n) WHERE r = 1""",
-    "review_due": learning.SQL["replay_stability"].replace("round(list_reduce", "(list_reduce").replace("greatest(0.5::DOUBLE, s * x)), 6) AS stability", "greatest(0.5::DOUBLE, s * x))) AS stability").replace("SELECT user_id, concept_id, (list_reduce", ", st AS (SELECT user_id, concept_id, max(created_at) AS seen, (list_reduce")
-    + """) SELECT user_id, concept_id, round(epoch_us(seen) / 8.64e10::DOUBLE + -stability * ln(0.85::DOUBLE), 4) AS due_day FROM st""",
+    "review_due": learning._A + learning._EV + f""", st AS (SELECT user_id, concept_id, max(created_at) AS seen, {learning._STABILITY} AS stability FROM f GROUP BY user_id, concept_id)
+SELECT user_id, concept_id, round(epoch_us(seen) / 8.64e10::DOUBLE + -stability * ln(0.85::DOUBLE), 4) AS due_day FROM st""",
     "theta_drift": _Q + """, d AS (SELECT concept_id, abs(theta_before - coalesce(last_value(theta_after IGNORE NULLS) OVER (PARTITION BY user_id, concept_id ORDER BY created_at, attempt_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE)) AS d FROM att)
 SELECT concept_id, count(*) FILTER (WHERE d > 1e-4) AS off, round(max(d), 6) AS largest FROM d GROUP BY 1""",
     "accuracy_by_day": _Q + "SELECT epoch_us(date_trunc('day', created_at)) AS start_us, concept_id, count(*) AS n, count(*) FILTER (WHERE correct) AS \"right\" FROM att GROUP BY 1, 2",

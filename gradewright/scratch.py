@@ -1,8 +1,8 @@
 """Tables written to the folder that all executors share.
 
 A written table cuts lineage and outlives the executor that wrote it. The folder is the
-cluster's ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a local
-one is made and set.
+cluster's ``spark.checkpoint.dir``; only a local session (tests, a laptop) where that is unset
+gets one of its own. A cluster without it is refused, as its executors could not read each other's tables.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the session."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="gradewright-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -73,6 +73,38 @@ def test_stability_floor_and_nulls(spark):
     assert got == {("u", 1): (1.0, 2), (None, 2): (1.5, 1)}
 
 
+def test_folds_of_built_ins_equal_the_steps(spark):
+    rng = random.Random(6)
+    rows = [
+        (i, rng.choice(["a", "b", None]), rng.randrange(3), rng.choice([True, False, None]), rng.choice(["sure", "sure", "unsure", None]), T0 + dt.timedelta(hours=rng.randrange(400)), rng.choice([None, rng.uniform(0.2, 2.2)]), rng.choice([None, rng.uniform(-1, 1)]))
+        for i in range(700)
+    ]
+    df = spark.createDataFrame(rows, "attempt_id long, user_id string, concept_id long, correct boolean, confidence string, created_at timestamp, factor double, q double")
+    stable, flags, seeds = {}, {}, {}
+    for i, u, c, ok, conf, _, f, q in sorted(rows, key=lambda r: (r[5], r[0])):
+        s, n = stable.get((u, c), (1.0, 0))
+        stable[u, c] = (max(C.STABILITY_MIN, s * f), n + 1) if f is not None else (s, n)
+        flags.setdefault((u, c), 0)
+        if ok is not None:
+            flags[u, c] = fold.misconception_step(flags[u, c], ok, conf)
+            t, n = seeds.get((u, c), (0.0, 0))
+            seeds[u, c] = (max(-6, min(6, t + C.DIAGNOSTIC_K * fold.weight(ok, conf) * (ok - 1 / (1 + math.exp((q or 0.0) - t))))), n + 1)
+    got = {(r.user_id, r.concept_id): (round(r.stability, 9), r.n) for r in fold.stability_fold(df).collect()}
+    assert got == {k: (round(s, 9), n) for k, (s, n) in stable.items()}
+    assert {(r.user_id, r.concept_id): r.flag for r in fold.misconception_fold(df).collect()} == flags
+    for limit in (1_000, 70):
+        assert {(r.user_id, r.concept_id): (round(r.theta, 9), r.n) for r in fold.seed_fold(df, limit).collect()} == {k: (round(t, 9), n) for k, (t, n) in seeds.items()}
+
+
+def test_uniforms_are_even_and_apart(spark):
+    rows = spark.range(40).select(F.col("id"), L.seed(F.col("id")).alias("s")).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(2000)))).withColumn("u", L.counted_uniform(F.col("s"), F.col("b")))
+    cells = rows.groupBy(F.floor(F.col("u") * 20)).count().collect()
+    assert len(cells) == 20 and all(abs(r["count"] - 4000) < 350 for r in cells)
+    wide = rows.groupBy("b").pivot("id", list(range(8))).agg(F.first("u"))
+    worst = wide.select([F.abs(F.corr(str(i), str(j))) for i in range(8) for j in range(i)]).first()
+    assert max(worst) < 0.1
+
+
 def test_folds_of_nothing(spark):
     assert fold.ability_fold(spark.createDataFrame([], _SCHEMA)).count() == 0
 
@@ -135,7 +167,10 @@ def test_band_rests_on_a_thousand_draws(spark, tmp_path):
     spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/attempt_outcomes.parquet")
 
     def u(*parts):
-        return (int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16) + 0.5) / 2**32
+        x = (int(hashlib.md5("|".join(map(str, parts[:-1])).encode()).hexdigest()[:8], 16) + parts[-1] * 2654435769) % 2**32
+        for _ in range(2):
+            x = (x ^ x >> 16) * 73244475 % 2**32
+        return ((x ^ x >> 16) + 0.5) / 2**32
 
     last = {(r[1], r[3]): r[4] for r in rows}
     n = {k: sum((r[1], r[3]) == k for r in rows) for k in last}

@@ -38,5 +38,5 @@ def test_no_products(spark):
 
 
 def test_expressions_stay_in_the_jvm(spark):
-    for name in ("token_counts", "discrimination", "priority_rank", "session_scores", "page_chrome", "bank_contamination", "bootstrap_band", "review_order"):
+    for name in ("replay_stability", "misconception_flags", "review_due", "token_counts", "discrimination", "priority_rank", "session_scores", "page_chrome", "bank_contamination", "bootstrap_band", "review_order"):
         assert not re.search(r"Python|Pandas|InArrow", _plan(spark, name)), name

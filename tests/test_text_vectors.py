@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from gradewright.functions import text as X
-from gradewright.operators.chunking import Packer, _TOKEN, pack_pages, units_of_page
+from gradewright.operators.chunking import Limits, _Source, _TOKEN, pack_pages, units_of_page
 from gradewright.operators.vectors import near_classes, search
 from gradewright.skew import lookup
 
@@ -37,16 +37,17 @@ def test_units_keep_tables_and_examples_whole():
 def test_packer_bounds_overlap_and_rest():
     rng = random.Random(1)
     units = [" ".join(f"w{rng.randrange(99)}" for _ in range(rng.randrange(5, 60))) for _ in range(400)]
-    packer, chunks = Packer(), []
+    source, chunks = _Source(Limits()), []
     for i, u in enumerate(units):
-        chunks += packer.feed(i, u)
-    chunks += packer.end()
-    assert [i for c in chunks for i in c] and sorted({p for c in chunks for p, _, _ in c}) == list(range(400))
-    sizes = [sum(n for _, _, n in c) for c in chunks]
+        chunks += source.add(i, [u])
+    chunks += source.rest()
+    n = lambda c: sum(len(_TOKEN.findall(u)) for _, u in c)
+    assert [i for c in chunks for i in c] and sorted({p for c in chunks for p, _ in c}) == list(range(400))
+    sizes = [n(c) for c in chunks]
     assert max(sizes) <= 1400 and min(sizes[:-1]) >= 300
     for a, b in zip(chunks, chunks[1:]):
         shared = [x for x in b if x in a]
-        assert sum(n for _, _, n in shared) <= 135 and b[: len(shared)] == shared
+        assert n(shared) <= 135 and b[: len(shared)] == shared
 
 
 def test_pack_pages_streams_sources(spark):
