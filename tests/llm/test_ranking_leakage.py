@@ -56,7 +56,7 @@ def test_alignment():
     assert align(item, item) == (40, 20, 20)
     edited = np.concatenate([item[:8], [99], item[8:12], item[13:]])  # one word put in, one left out
     score, matched, run = align(edited, item)
-    assert score == 38 - 2 and run == 8 and matched == 18
+    assert score == 38 - 2 and run == 8 and matched == 19  # 8 + 4 + 7
     assert align(np.full(5, -1), item) == (0, 0, 0)
 
 
@@ -113,6 +113,31 @@ def test_edited_copies_in_a_third_of_the_documents_are_found(spark):
     assert {r.doc_id for r in got} == set(range(31)) and all(r.longest_run < 12 and r.share >= 0.6 for r in got)
 
 
+def test_recall_of_edited_copies_by_rate_and_number(spark):
+    """Recall among the copies that reach the score: at every rate of edits, however many documents carry them."""
+    rng = random.Random(12)
+    vocab = [f"v{i}" for i in range(600)]
+    items = {i: [rng.choice(vocab) for _ in range(rng.randrange(30, 70))] for i in range(9)}
+    docs, planted = [], {}
+    for rate in (0.1, 0.2, 0.25):
+        for many, own in ((1, (0, 1, 2)), (3, (3, 4, 5)), (50, (6, 7, 8))):
+            for item in own:
+                for _ in range(many):
+                    copy = []
+                    for w in items[item]:
+                        u = rng.random() / rate
+                        copy += [w] if u > 1 else [rng.choice(vocab)] if u < 0.6 else [] if u < 0.8 else [w, rng.choice(vocab)]
+                    text = [rng.choice(vocab) for _ in range(rng.randrange(80))] + copy + [rng.choice(vocab) for _ in range(30)]
+                    number = {w: k for k, w in enumerate(vocab)}
+                    if align(np.array([number[w] for w in text]), np.array([number[w] for w in items[item]]))[0] >= 1.2 * len(items[item]):
+                        planted.setdefault((rate, many), set()).add((len(docs), item))
+                    docs.append((len(docs), " ".join(text)))
+    got = {(r.doc_id, r.item_id) for r in leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")).collect()}
+    assert len(planted) == 9
+    for case, pairs in planted.items():
+        assert len(pairs & got) >= 0.9 * len(pairs), case
+
+
 def test_no_documents_or_items(spark):
     docs, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     one = spark.createDataFrame([(1, " ".join("abcdefghijklmnop"))], "doc_id long, text string")
