@@ -111,5 +111,30 @@ def test_spam_and_prose_are_told_apart(spark):
     assert got[1002].link_share > 0.9 and got[2006].n_words == 0
 
 
+_OTHER = {
+    "pl": (["Każdy {} musi sprawdzić {} przed końcem roku, a potem zapisać {} w rejestrze.", "Nie wiadomo, czy {} będzie mógł zmienić {} bez zgody {}.", "W umowie z {} zapisano, że {} nie może być niższy niż {}.", "Po co {} ma płacić za {}, skoro {} jest już zamknięty?"],
+           ["rachunek", "bilans", "zarządca", "fundusz", "wniosek", "kredyt", "oddział", "termin", "udział", "podatek"]),
+    "sv": (["Varje {} måste granska {} innan året är slut och sedan skriva in {} i boken.", "Det är inte klart om {} får ändra {} utan att {} har sagt ja.", "I avtalet med {} står det att {} inte får vara lägre än {}.", "Varför ska {} betala för {} när {} redan är stängd?"],
+           ["räkning", "balans", "förvaltare", "fond", "ansökan", "kredit", "avdelning", "tidsfrist", "andel", "skatt"]),
+}
+
+
+def test_shuffled_prose_is_spam_and_languages_without_lists_are_not(spark):
+    rng = random.Random(8)
+    rows = [(i, _prose(rng, rng.randrange(4, 25))) for i in range(400)]
+    for k, (forms, nouns) in enumerate(_OTHER.values()):
+        rows += [(1000 * (k + 1) + i, " ".join(rng.choice(forms).format(*rng.sample(nouns, 3)) for _ in range(rng.randrange(4, 15)))) for i in range(100)]
+    salad = []
+    for i, text in rows[:150]:
+        words = text.split()
+        rng.shuffle(words)
+        salad.append((5000 + i, " ".join(words)))
+    got = {r.doc_id: r.spam for r in spam_scores(spark.createDataFrame(rows + salad, "doc_id long, text string")).collect()}
+    assert sum(got[i] for i, _ in salad) >= 0.9 * len(salad)
+    for start, end in ((0, 1000), (1000, 2000), (2000, 3000)):
+        own = [v for i, v in got.items() if start <= i < end]
+        assert sum(own) <= 0.02 * len(own)
+
+
 def test_spam_of_nothing(spark):
     assert spam_scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
