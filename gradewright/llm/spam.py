@@ -72,42 +72,56 @@ def vocabulary(texts: DataFrame, widespread: int = WIDESPREAD, per_group: int =
     return sorted(r["word"] for r in best.union(own).distinct().collect())  # bounded by the parameters
 
 
+def _marked(low: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Words of a lower-cased stretch, which of them belong to links, and which to rows of figures."""
+    found = [(m.start(), m.group()) for m in _WORD.finditer(low)]
+    at = np.array([x for x, _ in found], dtype=np.int64)
+    link, table = np.zeros(len(found), bool), np.zeros(len(found), bool)
+    for pattern in (_HREF, _LINK):
+        for m in pattern.finditer(low):
+            a, b = np.searchsorted(at, m.span())
+            link[a:b] = True
+    pos = 0
+    for line in low.split("\n") if " | " in low or "\t" in low else ():
+        cells = re.split(r" \| |\t", line)
+        if 2 <= len(cells) <= 8 and sum(1 for c in cells[1:] if _FIGURE.match(c)) * 2 >= len(cells) - 1:
+            a, b = np.searchsorted(at, (pos, pos + len(line)))
+            table[a:b] = True
+        pos += len(line) + 1
+    return [w for _, w in found], link, table
+
+
 def _kinds(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Words of the lower-cased text, which of them belong to links, and which to rows of figures."""
+    """Words of the lower-cased text, which of them belong to links, and which to rows of figures.
+
+    Only lines with a sign of either are looked at closely; markup may go over lines, so a text with markup is all one stretch.
+    """
     low = text.lower()
-    has_link, has_table = "/" in low or "www." in low, " | " in low or "\t" in low
-    if not has_link and not has_table:
+    if "<a" in low:
+        return _marked(low)
+    if "/" not in low and "www." not in low and " | " not in low and "\t" not in low:
         words = _lower_words(low)
         none = np.zeros(len(words), bool)
         return words, none, none
-    starts, words = [], []
-    for m in _WORD.finditer(low):
-        starts.append(m.start())
-        words.append(m.group())
-    at = np.array(starts, dtype=np.int64)
-    link, table = np.zeros(len(words), bool), np.zeros(len(words), bool)
-
-    def mark(flags: np.ndarray, a: int, b: int) -> None:
-        flags[np.searchsorted(at, a):np.searchsorted(at, b)] = True
-
-    if has_link:
-        for pattern in (_HREF, _LINK):
-            for m in pattern.finditer(low):
-                mark(link, m.start(), m.end())
-    if has_table:
-        pos = 0
-        for line in low.split("\n"):
-            cells = re.split(r" \| |\t", line)
-            if 2 <= len(cells) <= 8 and sum(1 for c in cells[1:] if _FIGURE.match(c)) * 2 >= len(cells) - 1:
-                mark(table, pos, pos + len(line))
-            pos += len(line) + 1
-    return words, link, table
+    low = _MARKUP.sub(" ", low) if "<" in low or "&" in low else low
+    words: list[str] = []
+    links, tables = [], []
+    for line in low.split("\n"):
+        if "/" in line or "www." in line or " | " in line or "\t" in line:
+            own, link, table = _marked(line)
+        else:
+            own = _WORD.findall(line)
+            link = table = np.zeros(len(own), bool)
+        words += own
+        links.append(link)
+        tables.append(table)
+    return words, np.concatenate(links), np.concatenate(tables)
 
 
 class _Words(dict):
     """Word to number, in order of appearance; keeps each one's class and length. Forgotten as a whole when it grows too large."""
 
-    def __init__(self, told: list[str], limit: int = 1_000_000):
+    def __init__(self, told: list[str], limit: int = 600_000):
         super().__init__()
         self.told, self.limit = {w: i for i, w in enumerate(told)}, limit
         self.kind: list[int] = []
@@ -129,14 +143,13 @@ class _Words(dict):
             self.length.clear()
 
 
-def _repeated(pairs: np.ndarray, doc: np.ndarray, k: int, times: int = 3) -> np.ndarray:
-    """Which pairs stand at least ``times`` times within k words of their text."""
-    out = np.zeros(len(pairs), bool)
-    order = np.lexsort((np.arange(len(pairs)), pairs, doc))
-    p, d = pairs[order], doc[order]
+def _repeated(keys: np.ndarray, place: np.ndarray, k: int, times: int = 3) -> np.ndarray:
+    """Which keys stand at least ``times`` times within k places; keys differ from text to text, and places rise."""
+    out = np.zeros(len(keys), bool)
+    order = np.argsort(keys, kind="stable")
+    p, at = keys[order], place[order]
     if len(p) >= times:
-        a, b = slice(times - 1, None), slice(None, 1 - times)
-        near = (p[a] == p[b]) & (d[a] == d[b]) & (order[a] - order[b] < k)
+        near = (p[times - 1:] == p[: 1 - times]) & (at[times - 1:] - at[: 1 - times] < k)
         for j in range(times):
             out[order[j: len(order) - times + 1 + j][near]] = True
     return out
@@ -151,7 +164,7 @@ def _read_batches(told: list[str]):
 
     def emit(ids: list[int], texts: list[tuple[list[int], np.ndarray, np.ndarray]], words: _Words) -> pa.RecordBatch:
         sizes = np.array([len(t[0]) for t in texts], np.int64)
-        flat = np.array([x for t in texts for x in t[0]], np.int64)
+        flat = np.concatenate([t[0] for t in texts])
         doc = np.repeat(np.arange(len(texts)), sizes)
         kind, length = np.array(words.kind, np.int64)[flat], np.array(words.length, np.int64)[flat]
         flags = np.zeros(len(flat), np.int64)
@@ -159,8 +172,10 @@ def _read_batches(told: list[str]):
         if len(flat):
             flags = np.concatenate([t[1] for t in texts]) + 2 * np.concatenate([t[2] for t in texts])
             at = np.flatnonzero(doc[1:] == doc[:-1])
-            flags[at] += 4 * _repeated(flat[at] << 32 | flat[at + 1], doc[at], NEAR)
-            flags += 8 * (_repeated(flat, doc, NEAR) & (kind >= n_kinds - ENDINGS - 1))
+            # Numbers of words and of the chunk's texts have 20 bits at most.
+            flags[at] += 4 * _repeated(doc[at] << 40 | flat[at] << 20 | flat[at + 1], at, NEAR)
+            rare = np.flatnonzero(kind >= n_kinds - ENDINGS - 1)
+            flags[rare] += 8 * _repeated(doc[rare] << 20 | flat[rare], rare, NEAR)
             _, which, n = np.unique((doc[at] * n_kinds + kind[at]) * n_kinds + kind[at + 1], return_inverse=True, return_counts=True)
             own[at] = n[which]
         ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
@@ -171,13 +186,13 @@ def _read_batches(told: list[str]):
         words = _Words(told)
         ids: list[int] = []
         texts: list = []
-        size = 0
+        size = 0  # of words, and one a text
         for batch in batches:
             for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 own, link, table = _kinds(text.as_py())
                 ids.append(key)
-                texts.append((list(map(words.__getitem__, own)), link.astype(np.int64), table.astype(np.int64)))
-                size += len(own)
+                texts.append((np.fromiter(map(words.__getitem__, own), np.int64, len(own)), link.astype(np.int64), table.astype(np.int64)))
+                size += len(own) + 1
                 if size >= CHUNK:
                     yield emit(ids, texts, words)
                     ids, texts, size = [], [], 0
