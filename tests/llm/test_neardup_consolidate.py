@@ -44,15 +44,16 @@ def test_pairs_against_brute_force(spark, coverings):
     for seed in range(2):
         rows = _rows(seed)
         df = spark.createDataFrame(rows, "scope string, id long, text string").selectExpr("*", "1 AS n", "2 AS rid")
-        found = NearDuplicates(df, coverings=coverings, block=4)
-        got = [tuple(r) for r in found.pairs().collect()]
+        found = NearDuplicates(df, coverings=coverings, block=4, few=3)
+        got = [tuple(r) for r in found.pairs(block=2).collect()]
         assert len(got) == len(set(got)) and set(got) == _brute(rows)
 
 
-def test_large_copy_groups_become_stars(spark):
-    rows = [("q", i, "same words in this very text") for i in range(30)] + [("q", 99, "same words in this very text ok")]
-    pairs = {tuple(r) for r in NearDuplicates(spark.createDataFrame(rows, "scope string, id long, text string")).pairs(copies=10).collect()}
-    assert pairs == {("q", 0, i) for i in range(1, 30)} | {("q", 0, 99)}
+def test_copy_groups_have_one_form_at_every_size(spark):
+    rows = [("q", i, "same words in this very text") for i in range(30)] + [("q", 99, "same words in this very text ok"), ("c", 3, "same words in this very text")]
+    for block in (512, 7):
+        pairs = [tuple(r) for r in NearDuplicates(spark.createDataFrame(rows, "scope string, id long, text string")).pairs(block).collect()]
+        assert len(pairs) == len(set(pairs)) and set(pairs) == {("q", i, j) for i in range(30) for j in [*range(i + 1, 30), 99]}
 
 
 def test_groups_and_links(spark):
