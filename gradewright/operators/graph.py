@@ -2,19 +2,46 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradewright.scratch import Scratch
 
+#: Edges that one task finishes by union-find; contraction goes on until so few are left.
+FEW_EDGES = 400_000
+
+
+def _union(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(u, rep) of every node of the edges, rep being the smallest node of its component."""
+    root: dict = {}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    for pdf in batches:
+        for u, v in zip(pdf["u"].tolist(), pdf["v"].tolist()):
+            root.setdefault(u, u)
+            root.setdefault(v, v)
+            a, b = find(u), find(v)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    nodes = list(root)
+    yield pd.DataFrame({"u": nodes, "rep": [find(x) for x in nodes]})
+
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", few_edges: int = FEW_EDGES) -> DataFrame:
     """(node, component) of every node on an edge; component is the smallest node of its component.
 
     Each round every vertex joins the neighbour (or itself) of lowest hash under the round's
     salt, and the edges are redrawn between those representatives. A constant share of the vertices
     disappears per round whatever the shape, chains included, so the number of rounds is logarithmic
-    and the work of all rounds together is linear. Nothing is gathered on the driver.
+    and the work of all rounds together is linear. When at most ``few_edges`` edges are left, one task finishes
+    them. Nothing is gathered on the driver.
 
     Nulls: an edge with a null end is left out. Loops make their node a component of its own.
     Repeated edges count once. An empty table gives an empty result.
@@ -27,6 +54,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     current = all_edges.filter("u <> v")
     maps: list[DataFrame] = []
     while True:
+        if current.count() <= few_edges:
+            kind = all_edges.schema["u"].dataType.simpleString()
+            last = scratch.write(current.coalesce(1).mapInPandas(_union, f"u {kind}, rep {kind}"))
+            if not last.isEmpty():
+                maps.append(last)
+            break
         salt = len(maps)
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         rank = F.struct(F.xxhash64(F.lit(salt), "v").alias("h"), F.col("v"))

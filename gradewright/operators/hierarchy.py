@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,74 +14,90 @@ from gradewright.scratch import Scratch
 #: Nodes that one task walks; a component above it is not gathered but resolved by path doubling.
 MAX_COMPONENT = 200_000
 #: Small components are walked together, about so many nodes a task.
-NODES_PER_TASK = 20_000
+NODES_PER_TASK = 4_000
 
 _SCHEMA = "id long, parent long, root long, depth long, path array<long>, node_state string, back_edge boolean"
 
 
-def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Iterative depth-first walk of whole components with node colouring (white, grey, black)."""
-    ids = pdf["id"].tolist()
-    parent = {i: (None if pd.isna(p) else int(p)) for i, p in zip(ids, pdf["parent"])}
+def _walk(ids: list[int], parents: list[int | None]) -> Iterator[tuple]:
+    """Rows of whole components by an iterative depth-first walk with node colouring (white, grey, black).
+
+    A node's path is the walk's own trail when the node is entered, so no more than one path is held.
+    """
+    parent = dict(zip(ids, parents))
     children: dict[int, list[int]] = {}
     for i, p in parent.items():
-        if p is not None and p in parent:
+        if p is not None:
             children.setdefault(p, []).append(i)
-    for own in children.values():
-        own.sort(reverse=True)
     colour: dict[int, int] = {}
-    state: dict[int, str] = {}
-    root: dict[int, int] = {}
-    back: set[int] = set()
+    ring_low: dict[int, int] = {}
 
-    # Upward walk: grey marks the walk in hand; meeting grey again closes a cycle, and that step is a back edge.
+    # Upward walk: grey marks the walk in hand; meeting grey again closes a cycle.
     for start in ids:
         trail, i = [], start
-        while i is not None and i in parent and colour.get(i, 0) == 0:
+        while i is not None and colour.get(i, 0) == 0:
             colour[i] = 1
             trail.append(i)
             i = parent[i]
-        if i is not None and colour.get(i) == 1:
+        if i is not None and colour[i] == 1:
             ring = trail[trail.index(i):]
-            low = min(ring)
-            for x in ring:
-                state[x], root[x] = "cycle", low
-            back.update(x for x in ring if parent[x] == low)
+            ring_low.update(dict.fromkeys(ring, min(ring)))
         for x in trail:
             colour[x] = 2
 
-    # Downward walk from every root and every cycle node; the stack holds what is still to be entered.
-    path: dict[int, list[int]] = {x: [] for x in state}
-    depth: dict[int, int] = {x: -1 for x in state}
-    stack: list[int] = []
-    for i, p in parent.items():
-        if p is None or p not in parent:
-            state[i], root[i], path[i], depth[i] = "tree", i, [i], 0
-            stack.append(i)
-    stack += [x for x in depth if depth[x] == -1]
-    while stack:
-        i = stack.pop()
-        for c in children.get(i, ()):
-            if c in state:
-                continue
-            root[c] = root[i]
-            if state[i] == "tree":
-                state[c], depth[c] = "tree", depth[i] + 1
-            else:
-                state[c], depth[c] = "below_cycle", -1
-            path[c] = [*path[i], c]
-            stack.append(c)
-    return pd.DataFrame(
-        {
-            "id": ids,
-            "parent": pd.array([parent[i] for i in ids], dtype="Int64"),
-            "root": [root[i] for i in ids],
-            "depth": [depth[i] for i in ids],
-            "path": [path[i] for i in ids],
-            "node_state": [state[i] for i in ids],
-            "back_edge": [i in back for i in ids],
-        }
-    )
+    # Downward walk from every root and every cycle node; the stack holds what is still to be entered and how deep it lies.
+    for top in ids:
+        on_ring = top in ring_low
+        if parent[top] is not None and not on_ring:
+            continue
+        root = ring_low[top] if on_ring else top
+        trail = [] if on_ring else [top]
+        back = on_ring and parent[top] == root  # the link that closes the cycle
+        yield top, parent[top], root, -1 if on_ring else 0, list(trail), "cycle" if on_ring else "tree", back
+        base = len(trail)
+        stack = [(c, base) for c in sorted(children.get(top, ()), reverse=True) if c not in ring_low]
+        while stack:
+            node, depth = stack.pop()
+            del trail[depth:]
+            trail.append(node)
+            yield node, parent[node], root, -1 if on_ring else depth, list(trail), "below_cycle" if on_ring else "tree", False
+            stack += [(c, depth + 1) for c in sorted(children.get(node, ()), reverse=True)]
+
+
+def _walk_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Walks the keys of a partition, which come one after the other; rows leave in batches of bounded path length."""
+    names = ["id", "parent", "root", "depth", "path", "node_state", "back_edge"]
+    rows: list[tuple] = []
+    held = 0
+
+    def frame() -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=names)
+        out["parent"] = out["parent"].astype("Int64")
+        return out
+
+    def groups() -> Iterator[tuple[list, list]]:
+        key, ids, parents = None, [], []
+        for pdf in batches:
+            up = pdf["parent"].astype("Int64")
+            for k, i, p in zip(pdf["k"].tolist(), pdf["id"].tolist(), up.where(up.notna(), None).astype(object).tolist()):
+                if k != key and ids:
+                    yield ids, parents
+                    ids, parents = [], []
+                key = k
+                ids.append(i)
+                parents.append(None if p is None or p is pd.NA else int(p))
+        if ids:
+            yield ids, parents
+
+    for ids, parents in groups():
+        for row in _walk(ids, parents):
+            rows.append(row)
+            held += len(row[4]) + 4
+            if held > 500_000:
+                yield frame()
+                rows, held = [], 0
+    if rows:
+        yield frame()
 
 
 def _double(nodes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -139,7 +157,7 @@ def hierarchy(
     """Every node with (id, parent, root, depth, path, node_state, back_edge).
 
     Components are found first, then each is brought into one task and walked depth first without recursion,
-    colouring nodes; small components share tasks. A component above ``max_component`` nodes is never gathered:
+    colouring nodes; small components share tasks, and rows leave a task as they are found. A component above ``max_component`` nodes is never gathered:
     it is resolved by pointer doubling, with the same result.
 
     node_state ``tree``: root is the topmost ancestor, depth its distance, path the ids from root to node.
@@ -169,14 +187,14 @@ def hierarchy(
     sizes = placed.groupBy("component").agg(F.count("*").alias("n"))
     large = sizes.filter(F.col("n") > max_component).select("component")
     has_large = not large.isEmpty()
-    tasks = max(1, placed.count() // nodes_per_task)
+    tasks = placed.count() // nodes_per_task + 1
     small = placed.join(large, "component", "left_anti") if has_large else placed
     # A third of the nodes may be one component: components of over half a task's load get a key of their own.
     sized = small.join(sizes, "component")
     key = F.when(F.col("n") > nodes_per_task // 2, F.col("component")).otherwise(-1 - F.pmod(F.xxhash64("component"), F.lit(tasks)))
-    walked = sized.select("id", "parent", key.alias("k")).groupBy("k").applyInPandas(
-        lambda pdf: _walk(pdf), schema=_SCHEMA
-    )
+    # The number of tasks is given, as small rows would be put together into one although their paths are long.
+    ordered = sized.select("id", "parent", key.alias("k")).repartition(tasks, "k").sortWithinPartitions("k", "id")
+    walked = ordered.mapInPandas(_walk_batches, _SCHEMA)
     if not has_large:
         return walked
     return walked.unionByName(_double(placed.join(large, "component", "left_semi").select("id", "parent"), scratch))

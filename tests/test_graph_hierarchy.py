@@ -22,11 +22,12 @@ def _components(edges):
     return {x: find(x) for x in list(root)}
 
 
-def test_components_match_union_find(spark):
+@pytest.mark.parametrize("few", [400_000, 3, 0])  # 3 and 0: by contraction
+def test_components_match_union_find(spark, few):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(60)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(40)] + [(300, 300), (301, 302), (302, 301)]
     df = spark.createDataFrame(edges + [(None, 4), (5, None)], "src long, dst long")
-    got = {r.node: r.component for r in connected_components(df).collect()}
+    got = {r.node: r.component for r in connected_components(df, few_edges=few).collect()}
     assert got == _components(edges)
 
 
