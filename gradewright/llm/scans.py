@@ -178,19 +178,37 @@ def repaired_number(token: str, before: str) -> str | None:
     return "".join(DIGITS.get(ch, ch) for ch in core)
 
 
+class _Tokens(dict):
+    """What a token is, remembered by token and whether a capital stands before it: a number's text and repair, or a word, or nothing."""
+
+    def __missing__(self, key: tuple[str, bool]) -> tuple[str | None, str | None]:
+        if len(self) >= 500_000:
+            self.clear()
+        token, capital = key
+        word = _clean(token).lower()
+        fixed = repaired_number(token, "X" if capital else "")
+        if fixed is None and sum(ch.isalpha() for ch in word) < 2:
+            word = None
+        self[key] = out = (word, fixed)
+        return out
+
+
 def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Emits the words, the breaks and the misread numbers of each page's running text, and its first and last words.
 
-    kind w: a word of the line. b: left and right part of a word broken within the page. n: a number and its repair. h: the page's first word.
+    kind w: all words of the page, in ``words``, with their lines in ``lines``. b: left and right part of a word broken within the page. n: a number and its repair. h: the page's first word.
     t: the left part that the page ends in. Right parts are not words of their line.
     """
-    names = ["page_id", "source_id", "page_number", "kind", "line_no", "word", "other"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string()]
+    names = ["page_id", "source_id", "page_number", "kind", "line_no", "word", "other", "lines", "words"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.string())]
+    known = _Tokens()
     for batch in batches:
         rows: list[tuple] = []
         for page, source, number, text, chrome in zip(*(batch.column(c).to_pylist() for c in ("page_id", "source_id", "page_number", "text", "chrome"))):
             out = set(chrome or ())
-            put = lambda kind, no, word, other=None: rows.append((page, source, number, kind, no, word, other))  # noqa: B023,E731
+            put = lambda kind, no, word, other=None: rows.append((page, source, number, kind, no, word, other, None, None))  # noqa: B023,E731
+            in_lines: list[int] = []
+            words: list[str] = []
             lines = [(i, x) for i, x in enumerate(text.split("\n"), 1) if x.strip() and i not in out]
             open_part: tuple[int, str] | None = None
             before = ""
@@ -209,7 +227,8 @@ def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                         put("b", open_part[0], open_part[1], start.group(1))
                         skip = True
                     else:
-                        put("w", open_part[0], open_part[1].lower())
+                        in_lines.append(open_part[0])
+                        words.append(open_part[1].lower())
                     open_part = None
                 end = _ENDS.search(line)
                 if end and (len(tokens) > 1 or not skip):
@@ -219,20 +238,25 @@ def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     if skip and j == 0:
                         before = token
                         continue
-                    fixed = repaired_number(token, before)
+                    word, fixed = known[token, before[:1].isupper()]
                     before = token
                     if fixed is not None:
-                        put("n", no, _clean(token).lower(), fixed)
-                        continue
-                    word = _clean(token).lower()
-                    if sum(ch.isalpha() for ch in word) > 1:
-                        put("w", no, word)
+                        put("n", no, word, fixed)
+                    elif word is not None:
+                        in_lines.append(no)
+                        words.append(word)
             if open_part is not None:
                 put("t", *open_part)
+            if words:
+                rows.append((page, source, number, "w", None, None, None, in_lines, words))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
 
+#: Letters of a word up to which a second confusion is looked for; what is longer is no word.
+LONGEST = 200
+
+
 def readings(word: str) -> set[str]:
     """What may have been printed where ``word`` was read: one or two confusions undone, accents and ligatures resolved."""
     flat = "".join(ch for ch in unicodedata.normalize("NFKD", word) if not unicodedata.combining(ch)).replace("‐", "-")
@@ -249,7 +273,7 @@ def readings(word: str) -> set[str]:
 
     once = undo(flat)
     out |= once
-    odd = [x for x in once if len(x) <= 40] if _ODD.search(flat) or len(flat) >= 6 else []
+    odd = [x for x in once if len(x) <= LONGEST] if _ODD.search(flat) or len(flat) >= 6 else []
     for x in odd:
         # A second one only where it takes a foreign character away, or in long words.
         out |= {y for y in undo(x) if not _ODD.search(y)}
@@ -295,10 +319,10 @@ class ScannedPages:
         self.chrome = scratch.write(chrome_lines(self.pages, results))
         per_page = self.chrome.groupBy("page_id").agg(F.collect_list("line_no").alias("chrome"))
         self.parts = scratch.write(self.pages.join(per_page, "page_id", "left").mapInArrow(
-            _line_batches, "page_id long, source_id long, page_number int, kind string, line_no int, word string, other string"
+            _line_batches, "page_id long, source_id long, page_number int, kind string, line_no int, word string, other string, lines array<int>, words array<string>"
         ))
-        words = self.parts.filter("kind = 'w'")
-        self.vocabulary = scratch.write(words.groupBy("word").agg(F.count("*").alias("n")))
+        self.words = self.parts.filter("kind = 'w'").select("page_id", F.explode(F.arrays_zip("lines", "words")).alias("x")).select("page_id", F.col("x.lines").alias("line_no"), F.col("x.words").alias("word"))
+        self.vocabulary = scratch.write(self.words.groupBy("word").agg(F.count("*").alias("n")))
         self.breaks = scratch.write(self._breaks())
         self.readings = scratch.write(self._readings())
 
@@ -363,7 +387,7 @@ class ScannedPages:
         # The first word of a page that ends a word of the page before is no word.
         ends = self.breaks.filter("next_page is not null").select(F.col("next_page").alias("page_id"), F.lower("right").alias("word"))
         heads = self.parts.filter("kind = 'h'").select("page_id", "line_no").join(ends, "page_id").distinct()
-        words = self.parts.filter("kind = 'w'").select("page_id", "line_no", "word").join(hot, "word", "left_anti").join(self.readings, "word").join(heads, ["page_id", "line_no", "word"], "left_anti")
+        words = self.words.join(hot, "word", "left_anti").join(self.readings, "word").join(heads, ["page_id", "line_no", "word"], "left_anti")
         numbers = self.parts.filter("kind = 'n'").select("page_id", "line_no", "word", F.col("other").alias("repaired"))
         return words.select("page_id", "line_no", "word", "repaired").unionByName(numbers).distinct()
 
