@@ -4,7 +4,7 @@
 CHUNK_TARGET, CHUNK_MIN, CHUNK_MAX, CHUNK_OVERLAP = 900, 300, 1400, 0.15
 CHROME_SHARE, MIN_PAGE_CHARS, NGRAM = 0.30, 40, 8
 # Vectors
-DUPLICATE_COS, VARIANT_COS, MERGE_COS, BRIDGE_COS, BRIDGE_TOP = 0.90, 0.83, 0.92, 0.60, 6
+DUPLICATE_COS, VARIANT_COS, MERGE_COS, BRIDGE_COS, BRIDGE_TOP, LIFT_COS, OPTION_COS = 0.90, 0.83, 0.92, 0.60, 6, 0.90, 0.85
 # Ability and question ratings
 K_BASE, K_MIN, K_MAX, KQ_BASE, THETA_MAX, MASTERY_LOGIT = 0.6, 0.08, 0.6, 0.15, 6.0, 0.3
 CONFIDENCE = {

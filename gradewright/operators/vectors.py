@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +18,38 @@ from gradewright.scratch import Scratch
 
 #: Queries that travel to the data at a time.
 QUERY_BLOCK = 4096
+#: What a copy of a vector in a table costs, in comparisons.
+COPY_COST = 1_000
+
+
+def hashed_embedding(dim: int):
+    """A column function: the words (runs of a-z and 0-9, lower-cased) of a text counted in ``dim`` cells by their digest; null for null."""
+
+    @F.pandas_udf("array<double>")
+    def embed(texts: pd.Series) -> pd.Series:
+        cells: dict[str, int] = {}
+
+        def one(text):
+            if text is None:
+                return None
+            v = np.zeros(dim)
+            for w in re.findall("[a-z0-9]+", text.lower()):
+                at = cells.get(w)
+                if at is None:
+                    at = cells[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dim
+                v[at] += 1
+            return v
+
+        return texts.map(one)
+
+    return embed
+
+
+def dimension_rejects(rows: DataFrame, dim: int) -> DataFrame:
+    """(id, reason) of the rows (id, embedding) that have no vector or one of another length, or one with a null or NaN in it; the others may be searched."""
+    bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x))
+    reason = F.when(F.col("embedding").isNull(), "missing").when(F.size("embedding") != dim, "dimension").when(bad, "value")
+    return rows.select("id", reason.alias("reason")).filter("reason is not null")
 
 
 def _matrix(vectors: pa.Array) -> np.ndarray:
@@ -26,67 +61,89 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
     return m / np.where(norm == 0, 1, norm)
 
 
-def search(queries: DataFrame, rows: DataFrame, k: int, min_cos: float | None = None) -> DataFrame:
-    """(query_id, id, cos, rank): the k rows of highest cosine for each query, other than itself, above ``min_cos`` if given.
+def _keyed(rows: DataFrame, within: str | None) -> DataFrame:
+    """(id, w, embedding); w tells apart what may be compared."""
+    w = F.xxhash64(within) if within else F.lit(0).cast("long")
+    kept = rows if within is None else rows.filter(F.col(within).isNotNull())
+    return kept.select(F.col("id").cast("long").alias("id"), w.alias("w"), "embedding").filter("id is not null and embedding is not null")
+
+
+def search(queries: DataFrame, rows: DataFrame, k: int, min_cos: float | None = None, within: str | None = None, same_ids: bool = True) -> DataFrame:
+    """(query_id, id, cos, rank): the k rows of highest cosine for each query, above ``min_cos`` if given.
 
-    queries and rows are (id, embedding). The queries, a stated set, go to the rows in blocks of QUERY_BLOCK; each batch of rows keeps its k best
-    a query, and a window merges them. Exact: no index. Ties go to the smaller id. Null vectors are left out; a zero
-    vector has cosine 0 with all. All vectors have one length.
+    queries and rows are (id, embedding[, within]); with ``within`` only rows of the query's own value of that column count, and nulls there are left out. With ``same_ids``
+    ids of both mean the same things, and a query is not found itself. The queries, a stated set, go to the rows in blocks of QUERY_BLOCK, of which
+    the driver holds one; each batch of rows keeps its k best a query, and a window merges them. Exact: no index. Ties go to the smaller
+    id. Null vectors are left out; a zero vector has cosine 0 with all. All vectors have one length.
     """
-    out = None
-    block_ids, block_vecs = [], []
-    rows = rows.select("id", "embedding").dropna()
+    rows = _keyed(rows, within)
 
-    def part(ids: list[int], vecs: list) -> DataFrame:
-        q = _matrix(pa.array(vecs, pa.list_(pa.float64())))
-        qid = np.array(ids)
+    def part(block: list) -> DataFrame:
+        q = _matrix(pa.array([r["embedding"] for r in block], pa.list_(pa.float64())))
+        qid, qw = np.array([r["id"] for r in block]), np.array([r["w"] for r in block])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                own = batch.column("id").to_numpy()
-                if not len(own):
+                own, w = batch.column("id").to_numpy(), batch.column("w").to_numpy()
+                some = np.flatnonzero(np.isin(qw, w))
+                if not len(own) or not len(some):
                     continue
-                cos = q @ _matrix(batch.column("embedding")).T
-                cos[qid[:, None] == own[None, :]] = -np.inf
+                cos = q[some] @ _matrix(batch.column("embedding")).T
+                cos[qw[some][:, None] != w[None, :]] = -np.inf
+                if same_ids:
+                    cos[qid[some][:, None] == own[None, :]] = -np.inf
                 if min_cos is not None:
                     cos[cos < min_cos] = -np.inf
                 order = np.lexsort((np.broadcast_to(own, cos.shape), -cos), axis=1)[:, :k]
                 best = np.take_along_axis(cos, order, axis=1)
                 x, y = np.nonzero(best > -np.inf)
-                yield pa.RecordBatch.from_arrays([pa.array(qid[x]), pa.array(own[order[x, y]]), pa.array(best[x, y])], ["query_id", "id", "cos"])
+                yield pa.RecordBatch.from_arrays([pa.array(qid[some][x]), pa.array(own[order[x, y]]), pa.array(best[x, y])], ["query_id", "id", "cos"])
 
         return rows.mapInArrow(run, "query_id long, id long, cos double")
 
-    def add(done: DataFrame | None) -> DataFrame | None:
-        if not block_ids:
-            return done
-        new = part(list(block_ids), list(block_vecs))
-        block_ids.clear()
-        block_vecs.clear()
-        return new if done is None else done.unionByName(new)
-
-    for r in queries.select("id", "embedding").dropna().orderBy("id").toLocalIterator():
-        block_ids.append(r["id"])
-        block_vecs.append(list(r["embedding"]))
-        if len(block_ids) == QUERY_BLOCK:
-            out = add(out)
-    out = add(out)
-    if out is None:
-        out = rows.limit(0).select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("cos"))
+    parts, block, scratch = [], [], None
+    for r in _keyed(queries, within).orderBy("w", "id").toLocalIterator():
+        if len(block) == QUERY_BLOCK:
+            scratch = scratch or Scratch(queries.sparkSession, "search")
+            parts.append(scratch.write(part(block)))
+            block = []
+        block.append(r)
+    if block:
+        parts.append(part(block))
+    if not parts:
+        parts = [rows.limit(0).select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("cos"))]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cos"), "id"))
     return out.withColumn("rank", place.cast("long")).filter(F.col("rank") <= k)
 
 
-def near_classes(rows: DataFrame, min_cos: float, tables: int = 24, bits: int = 10, seed: int = 7, block: int = 2048) -> DataFrame:
-    """(id, class_id, links) of every vector: its class under cosine >= min_cos, and how many others it is linked to.
+def table_plan(n: int, min_cos: float, recall: float) -> tuple[int, int]:
+    """(bits, tables) of least cost for n vectors: as many tables as bring a pair at ``min_cos`` together with a probability of ``recall``.
 
-    Random hyperplanes sign each vector in ``tables`` tables; vectors of equal signs in one are compared exactly. Buckets are cut into
-    blocks that meet pairwise, so a hot bucket is spread, and only true links leave a task. A pair at cosine 0.90 is
-    missed with a probability of about 3 in 1,000 at the defaults (recall is measured in the tests). Null vectors are left
-    out; zero vectors link to nothing.
+    Two vectors at an angle of t agree in a random sign with 1 - t / pi. No bits and one table is the comparison of all with all, cheapest up to some ten thousand.
     """
-    scratch = Scratch(rows.sparkSession, "classes")
-    rows = scratch.write(rows.select(F.col("id").cast("long").alias("id"), "embedding").dropna().dropDuplicates(["id"]))
+    agree = 1 - math.acos(min_cos) / math.pi
+    best, least = (0, 1), float(n)
+    for bits in range(1, 25):
+        tables = math.ceil(math.log(1 - recall) / math.log(1 - agree ** bits))
+        cost = tables * (n / 2 ** bits + COPY_COST)
+        if cost < least:
+            best, least = (bits, tables), cost
+    return best
+
+
+def near_links(rows: DataFrame, min_cos: float, within: str | None = None, recall: float = 0.999, block: int = 2048, seed: int = 7, plan: tuple[int, int] | None = None) -> DataFrame:
+    """(u, v), u < v: pairs of rows (id, embedding[, within]) with cosine >= min_cos.
+
+    Random hyperplanes sign each vector in several tables; vectors of equal signs in one are compared exactly. Bits and tables follow from the number of
+    rows and the wanted recall at ``min_cos`` (pairs above are found more surely); where comparing all with all costs less, there are no bits and the result is exact. Buckets are cut
+    into blocks that meet pairwise, so a hot bucket is spread, and only true links leave a task. Null vectors are left out; zero vectors link to nothing.
+    """
+    scratch = Scratch(rows.sparkSession, "links")
+    rows = scratch.write(_keyed(rows, within).dropDuplicates(["id"]))
+    bits, tables = plan or table_plan(rows.count(), min_cos, recall)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = None
@@ -98,15 +155,16 @@ def near_classes(rows: DataFrame, min_cos: float, tables: int = 24, bits: int =
                 planes = np.random.default_rng(seed).standard_normal((m.shape[1], tables * bits))
             keys = ((m @ planes) > 0).reshape(len(m), tables, bits) @ (1 << np.arange(bits))
             keys = keys + (np.arange(tables) << bits)
-            at = np.repeat(np.arange(len(m)), tables)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), batch.column("id").take(pa.array(at))], ["key", "id"])
+            at = pa.array(np.repeat(np.arange(len(m)), tables))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), batch.column("id").take(at), batch.column("w").take(at)], ["key", "id", "w"])
 
-    keys = scratch.write(rows.mapInArrow(sign, "key long, id long"))
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")  # at most tables x 2^bits rows
+    keys = rows.select(F.lit(0).cast("long").alias("key"), "id", "w") if not bits else rows.mapInArrow(sign, "key long, id long, w long")
+    keys = scratch.write(keys)
+    sizes = keys.groupBy("key", "w").agg(F.count("*").alias("n")).filter("n > 1")
     parts = F.ceil(F.col("n") / block).cast("int")
-    placed = keys.join(F.broadcast(sizes), "key").withColumn("parts", parts).withColumn("b", F.pmod(F.xxhash64("id", "key"), F.col("parts")).cast("int"))
-    spread = placed.select("key", "id", "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
-    met = spread.join(rows, "id").select("key", "id", "b", "embedding", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
+    placed = keys.join(sizes, ["key", "w"]).withColumn("parts", parts).withColumn("b", F.pmod(F.xxhash64("id", "key"), F.col("parts")).cast("int"))
+    spread = placed.select("key", "w", "id", "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
+    met = spread.join(rows.select("id", "embedding"), "id").select("key", "w", "id", "b", "embedding", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
@@ -118,9 +176,15 @@ def near_classes(rows: DataFrame, min_cos: float, tables: int = 24, bits: int =
         keep = u != v
         return pd.DataFrame({"u": np.minimum(u, v)[keep], "v": np.maximum(u, v)[keep]}).drop_duplicates()
 
-    links = scratch.write(met.groupBy("key", "i", "j").applyInPandas(compare, "u long, v long").distinct())
+    return scratch.write(met.groupBy("key", "w", "i", "j").applyInPandas(compare, "u long, v long").distinct())
+
+
+def near_classes(rows: DataFrame, min_cos: float, within: str | None = None, recall: float = 0.999, block: int = 2048, plan: tuple[int, int] | None = None) -> DataFrame:
+    """(id, class_id, links) of every vector: its class under cosine >= min_cos, by the links of near_links(), and how many others it is linked to."""
+    links = near_links(rows, min_cos, within, recall, block, plan=plan)
     comp = connected_components(links, "u", "v").select(F.col("node").alias("id"), F.col("component").alias("class_id"))
     degree = links.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
-    return rows.select("id").join(comp, "id", "left").join(degree, "id", "left").select(
+    ids = _keyed(rows, within).select("id").distinct()
+    return ids.join(comp, "id", "left").join(degree, "id", "left").select(
         "id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links")
     )

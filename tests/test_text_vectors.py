@@ -2,11 +2,12 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from gradewright.functions import text as X
 from gradewright.operators.chunking import Limits, _Source, _TOKEN, pack_pages, units_of_page
-from gradewright.operators.vectors import near_classes, search
+from gradewright.operators.vectors import dimension_rejects, near_classes, near_links, search, table_plan
 from gradewright.skew import lookup
 
 
@@ -80,14 +81,54 @@ def test_search_is_exact(spark):
     assert search(rows.filter("id < 0"), rows, 5).count() == 0
 
 
-def test_near_classes_recall(spark):
+def test_search_within_a_key_and_between_kinds(spark):
     m = _vectors()
+    rows = spark.createDataFrame([(i, v.tolist(), i % 3 if i % 11 else None) for i, v in enumerate(m)], "id long, embedding array<double>, part long")
     u = m / np.linalg.norm(m, axis=1, keepdims=True)
-    links = {(i, j) for i, j in zip(*np.nonzero(np.triu(u @ u.T >= 0.9, 1)))}
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, embedding array<double>")
-    got = {r.id: r for r in near_classes(df, 0.9, block=16).collect()}
-    found = sum(got[i].class_id == got[j].class_id for i, j in links)
-    assert len(got) == len(m) and found >= 0.95 * len(links) and sum(r.links for r in got.values()) <= 2 * len(links)
+    got = search(rows.filter("id % 20 = 0"), rows, 4, within="part", same_ids=False).collect()
+    for q in range(0, len(m), 20):
+        own = [j for j in range(len(m)) if q % 11 and j % 11 and j % 3 == q % 3]
+        want = sorted(own, key=lambda j: (-round(float(u[j] @ u[q]), 12), j))[:4]
+        assert [r.id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == want
+
+
+def _planted(n=700, d=32, seed=3):
+    """Vectors with partners at cosines from 0.83 to 0.95."""
+    rng = np.random.default_rng(seed)
+    base = rng.standard_normal((n, d))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    extra = []
+    for i, v in enumerate(base[:300]):
+        w = rng.standard_normal(d)
+        w -= (w @ v) * v
+        c = 0.831 + 0.12 * i / 300
+        extra.append(c * v + (1 - c * c) ** 0.5 * w / np.linalg.norm(w))
+    return np.vstack([base, extra])
+
+
+@pytest.mark.parametrize("bits", [None, 8])
+def test_near_links_at_the_registered_threshold(spark, bits):
+    """Exact where all are compared with all; with tables, at least the recall asked for less a margin."""
+    m = _planted()
+    links = {(i, j) for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(m @ m.T >= 0.83, 1))))}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)] + [(5000, None), (5001, [0.0] * 32)], "id long, embedding array<double>")
+    plan = None if bits is None else (bits, math.ceil(math.log(0.01) / math.log(1 - (1 - math.acos(0.83) / math.pi) ** bits)))
+    got = {(r.u, r.v) for r in near_links(df, 0.83, block=128, plan=plan).collect()}
+    assert len(links) >= 300 and got <= links and len(got) >= (1 if bits is None else 0.98) * len(links)
+    assert table_plan(1000, 0.83, 0.999) == (0, 1) and table_plan(10**9, 0.83, 0.999)[0] > 10
+
+
+def test_near_classes_and_keys(spark):
+    m = _planted(60)
+    rows = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(m)], "id long, embedding array<double>, part int")
+    got = {r.id: r for r in near_classes(rows, 0.83, within="part").collect()}
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(m @ m.T >= 0.83, 1))) if i % 2 == j % 2}
+    assert len(got) == len(m) and all(got[i].class_id == got[j].class_id for i, j in want) and sum(r.links for r in got.values()) == 2 * len(want)
+
+
+def test_dimension_rejects(spark):
+    rows = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [1.0]), (4, [1.0, None]), (5, [1.0, float("nan")])], "id long, embedding array<double>")
+    assert {r.id: r.reason for r in dimension_rejects(rows, 2).collect()} == {2: "missing", 3: "dimension", 4: "value", 5: "value"}
 
 
 def test_lookup_splits_hot_keys(spark):
