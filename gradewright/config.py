@@ -18,3 +18,6 @@ WEIGHT_WEAK, WEIGHT_OVERDUE, WEIGHT_MISCONCEPTION, WEIGHT_NOVELTY = 0.45, 0.30,
 SOFTMAX_T, DIFFICULTY_OFFSET, CLEAR_STREAK, DIAGNOSTIC_K = 0.7, 0.3, 2, 0.5
 # Exams
 NEGATIVE, SE_BASE, CALIBRATION_DAYS, DEAD_PULLS, INTERVAL = 0.25, 1.2, 3, 20, (0.025, 0.975)
+RESERVE_DAYS, REUSE_DAYS, MIN_COVERAGE, PASS_SHARE = 3, 5, 0.30, 0.6
+# Intake
+PARSE_LEAST, COVER_LEAST = 0.98, 0.97

@@ -56,3 +56,46 @@ def first_json(text: str | None) -> str | None:
 def extract_json(texts: pd.Series) -> pd.Series:
     """first_json() of a column."""
     return texts.map(first_json)
+
+
+# What a JSON type is called, and the Python types it reads as.
+_TYPES = {"object": dict, "array": list, "string": str, "integer": int, "number": (int, float), "boolean": bool, "null": type(None)}
+
+
+def schema_faults(value, schema: dict, at: str = "$") -> list[str]:
+    """Where a value departs from a JSON schema's type, enum, required, properties and items; a value of a wrong type is not looked into."""
+    kinds = schema.get("type", [])
+    kinds = [kinds] if isinstance(kinds, str) else kinds
+    if kinds and not any(isinstance(value, _TYPES[k]) and (k in ("boolean", "null") or not isinstance(value, bool)) for k in kinds):
+        return [f"{at}: not {' or '.join(kinds)}"]
+    out = [f"{at}: not in enum"] if "enum" in schema and value not in schema["enum"] else []
+    if isinstance(value, dict):
+        out += [f"{at}: no {k}" for k in schema.get("required", ()) if k not in value]
+        for k, part in schema.get("properties", {}).items():
+            out += schema_faults(value[k], part, f"{at}.{k}") if k in value else []
+    if isinstance(value, list) and "items" in schema:
+        out += [f for i, x in enumerate(value) for f in schema_faults(x, schema["items"], f"{at}[{i}]")]
+    return out
+
+
+def faults_of(schema: dict):
+    """A column function: schema_faults() of each JSON text; ``$: no JSON`` for what does not parse, null for null."""
+
+    @F.pandas_udf("array<string>")
+    def check(texts: pd.Series) -> pd.Series:
+        def one(text):
+            if text is None:
+                return None
+            try:
+                return schema_faults(json.loads(text), schema)
+            except ValueError:
+                return ["$: no JSON"]
+
+        return texts.map(one)
+
+    return check
+
+
+def setting(text, *paths: str, default: float):
+    """The number at the first of the paths that the JSON text has, else the default."""
+    return F.coalesce(*[F.get_json_object(text, p).cast("double") for p in paths], F.lit(float(default)))

@@ -54,6 +54,12 @@ def stability_factor(theta_after: Column, correct: Column, confidence: Column) -
     return F.when(correct, 1 + (grow - 1) * weight).otherwise(C.FAIL_MULT / weight)
 
 
+def card_factor(grade: Column) -> Column:
+    """What a card's grade of 1 (wrong), 2 (right) or 3 (right and sure) multiplies stability by; null for others."""
+    grow = C.GROW_MASTERY - 1
+    return F.when(grade == 1, C.FAIL_MULT / C.CONFIDENCE["wrong", "sure"]).when(grade == 2, 1 + grow * C.CONFIDENCE["correct", "unsure"]).when(grade == 3, 1 + grow * C.CONFIDENCE["correct", "sure"])
+
+
 def days_between(later: Column, earlier: Column) -> Column:
     """Fractional days, not below 0."""
     return F.greatest(F.lit(0.0), (F.unix_micros(later) - F.unix_micros(earlier)) / 8.64e10)

@@ -13,8 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradewright.operators.graph import connected_components
+from gradewright.operators.graph import FEW_EDGES, connected_components
 from gradewright.scratch import Scratch
+from gradewright.skew import lookup
 
 #: Queries that travel to the data at a time.
 QUERY_BLOCK = 4096
@@ -179,12 +180,72 @@ def near_links(rows: DataFrame, min_cos: float, within: str | None = None, recal
     return scratch.write(met.groupBy("key", "w", "i", "j").applyInPandas(compare, "u long, v long").distinct())
 
 
+def _copies(rows: DataFrame, within: str | None, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(id, tag, embedding) of all rows, and one row (rep, w, tag, e, copies) for each different vector of a ``within``; zero vectors stand alone."""
+    base = _keyed(rows, within).dropDuplicates(["id"])
+    zero = ~F.exists("embedding", lambda x: x != 0)
+    base = scratch.write(base.withColumn("tag", F.when(zero, F.xxhash64("w", "id")).otherwise(F.xxhash64("w", "embedding"))).withColumn("own", F.when(zero, F.col("id"))))
+    reps = base.groupBy("tag", "w", "embedding", "own").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    return base, scratch.write(reps.select("rep", "w", "tag", F.col("embedding").alias("e"), "own", "copies"))
+
+
 def near_classes(rows: DataFrame, min_cos: float, within: str | None = None, recall: float = 0.999, block: int = 2048, plan: tuple[int, int] | None = None) -> DataFrame:
-    """(id, class_id, links) of every vector: its class under cosine >= min_cos, by the links of near_links(), and how many others it is linked to."""
-    links = near_links(rows, min_cos, within, recall, block, plan=plan)
-    comp = connected_components(links, "u", "v").select(F.col("node").alias("id"), F.col("component").alias("class_id"))
-    degree = links.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
-    ids = _keyed(rows, within).select("id").distinct()
-    return ids.join(comp, "id", "left").join(degree, "id", "left").select(
-        "id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links")
+    """(id, class_id, links) of every vector: its class under cosine >= min_cos, by the links of near_links(), and how many others it is linked to.
+
+    Equal vectors are compared as one, however many they are; they count as linked to each other. The smallest id of a class names it.
+    """
+    scratch = Scratch(rows.sparkSession, "classes")
+    base, reps = _copies(rows, within, scratch)
+    links = near_links(reps.select(F.col("rep").alias("id"), F.col("e").alias("embedding"), "w"), min_cos, "w", recall, block, plan=plan)
+    comp = connected_components(links, "u", "v").select(F.col("node").alias("rep"), F.col("component").alias("class_id"))
+    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    degree = both.join(reps.select(F.col("rep").alias("v"), "copies"), "v").groupBy(F.col("u").alias("rep")).agg(F.sum("copies").alias("others"))
+    named = reps.join(comp, "rep", "left").join(degree, "rep", "left").select(
+        "tag", F.col("e"), F.col("own").alias("o"), F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).cast("long").alias("links"), F.col("copies").alias("cnt")
     )
+    return lookup(base, scratch.write(named), "tag").filter("embedding = e and own <=> o").select("id", "class_id", "links")
+
+
+def _reject_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rejected nodes of links u < v, decided from the smallest node on."""
+    near: dict[int, list[int]] = {}
+    for pdf in batches:
+        for u, v in zip(pdf["u"].tolist(), pdf["v"].tolist()):
+            near.setdefault(v, []).append(u)
+    gone: set[int] = set()
+    for v in sorted(near):
+        if any(u not in gone for u in near[v]):
+            gone.add(v)
+    yield pd.DataFrame({"id": sorted(gone)}, dtype="int64")
+
+
+def rejected_in_turn(links: DataFrame, few_links: int = FEW_EDGES) -> DataFrame:
+    """(id) of the nodes that are turned away when nodes come in the order of their ids and each is taken unless linked to one taken before.
+
+    links: (u, v), u < v. In rounds, nodes without an undecided smaller neighbour are taken and their larger neighbours turned away, by joins; when at most ``few_links``
+    links are left, one task decides them. Nodes without links are taken.
+    """
+    scratch = Scratch(links.sparkSession, "turns")
+    links, gone = scratch.write(links.select("u", "v").filter("u < v").distinct()), []
+    while links.count() > few_links:
+        taken = links.select("u").distinct().join(links.select(F.col("v").alias("u")).distinct(), "u", "left_anti")
+        away = scratch.write(links.join(taken, "u", "left_semi").select(F.col("v").alias("id")).distinct())
+        gone.append(away)
+        left = links.join(away.withColumnRenamed("id", "v"), "v", "left_anti").join(away.withColumnRenamed("id", "u"), "u", "left_anti")
+        links = scratch.write(left.join(taken, "u", "left_anti").select("u", "v"))
+    out = links.coalesce(1).mapInPandas(_reject_batches, "id long")
+    for more in gone:
+        out = out.unionByName(more)
+    return out
+
+
+def accepted_in_turn(rows: DataFrame, max_cos: float, within: str | None = None) -> DataFrame:
+    """(id, accepted) of rows (id, embedding[, within]) that come in the order of their ids: each is accepted unless its cosine with one accepted before is ``max_cos`` or more.
+
+    Of equal vectors only the first can be. Rows without a vector are left out.
+    """
+    scratch = Scratch(rows.sparkSession, "accept")
+    base, reps = _copies(rows, within, scratch)
+    away = rejected_in_turn(near_links(reps.select(F.col("rep").alias("id"), F.col("e").alias("embedding"), "w"), max_cos, "w"))
+    taken = reps.select(F.col("rep").alias("id")).join(away, "id", "left_anti").withColumn("accepted", F.lit(True))
+    return base.select("id").join(taken, "id", "left").select("id", F.coalesce("accepted", F.lit(False)).alias("accepted"))

@@ -195,6 +195,11 @@ def expected_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("user_id").agg(F.round(F.sum(L.expected_value(p, F.col("marks"))), 4).alias("expected"), F.round(F.sum("marks"), 4).alias("out_of"))
 
 
+def _width(spark: SparkSession) -> int:
+    """Tasks for rows that are few now and many after the draws."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _drawn(items: DataFrame, ability: list[str], answer: list[str], draws: int) -> tuple[DataFrame, Column]:
     """items once a draw b, and the success of each: 1, 0, or null where p(success) is below break-even and the item is skipped.
 
@@ -215,7 +220,7 @@ def bootstrap_band(spark: SparkSession, sf_dir: str, draws: int = 1000) -> DataF
     A learner's concepts stay together in 16 parts, so scores are summed before they are shuffled and a learner with a third of the log is split.
     """
     items = attempts(spark, sf_dir, "user_id", "concept_id", "theta_after", "q_rating_before", "created_at").filter("q_rating_before is not null and user_id is not null")
-    items = items.withColumn("part", F.pmod(F.xxhash64("concept_id"), F.lit(16))).repartition("user_id", "part")
+    items = items.withColumn("part", F.pmod(F.xxhash64("concept_id"), F.lit(16))).repartition(_width(spark), "user_id", "part")
     per = Window.partitionBy("user_id", "part", "concept_id")
     last = F.max_by("theta_after", F.struct("created_at", "attempt_id")).over(per)
     items = items.select("user_id", "attempt_id", "concept_id", F.col("q_rating_before").alias("q"), (C.SE_BASE / F.sqrt(1.0 + F.count("*").over(per))).alias("se"), last.alias("theta"))
