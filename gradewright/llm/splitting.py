@@ -33,26 +33,44 @@ def _kind(line: str) -> str:
     return "heading" if len(line) < 100 and _HEADING.match(line.rstrip("\n")) else "prose"
 
 
+def _depth(heading: str) -> int:
+    """How deep a heading lies: by its marks (##), by its number (1.2), else below the first two."""
+    marks = re.match(r"\s*(?:(#{1,6})\s|(\d+(?:\.\d+)*)\.?\s)", heading)
+    if marks is None:
+        return 3
+    return len(marks.group(1)) if marks.group(1) else marks.group(2).count(".") + 1
+
+
 def _boundaries(text: str, starts: np.ndarray) -> list[np.ndarray]:
-    """Offsets where the tree's levels begin: sections, blocks, lines, sentences, clauses, tokens."""
-    sections, blocks, lines = [], [], []
-    before, ended = "blank", True
+    """Offsets where the tree's levels begin: sections by the depth of their headings, blocks, outer lines, lines, sentences, clauses, tokens.
+
+    Outer lines are all but list items set further in than the first item of their list. Every level has the boundaries of those above it.
+    """
+    sections: dict[int, list[int]] = {}
+    blocks, outer, lines = [], [], []
+    before, ended, margin = "blank", True, 0
     for m in _LINE.finditer(text):
         if m.start() == m.end():
             break
         line, kind = m.group(), _kind(m.group())
         if kind == "heading" and before != "heading":
-            sections.append(m.start())
+            sections.setdefault(_depth(line), []).append(m.start())
         if kind != "blank" and (before == "blank" or (kind != before and "heading" != before)):
             blocks.append(m.start())
+        indent = len(line) - len(line.lstrip())
+        if kind == "list" and before != "list":
+            margin = indent
         if kind != "blank" and (ended or kind in ("table", "list", "heading") or before != kind):
-            lines.append(m.start())
+            (lines if kind == "list" and indent > margin else outer).append(m.start())
         if kind != "blank":
             ended = line.rstrip()[-1:] in ".!?:;"
         before = kind
     sentences = [m.end() for m in _SENTENCE.finditer(text)]
     clauses = [m.end() for m in _CLAUSE.finditer(text)]
-    return [np.unique(np.array(x, dtype=np.int64)) for x in (sections, blocks, lines, sentences, clauses, starts)]
+    levels: list[np.ndarray] = []
+    for own in (*(sections[d] for d in sorted(sections)), blocks, outer, lines, sentences, clauses, starts):
+        levels.append(np.unique(np.concatenate([levels[-1] if levels else np.empty(0, np.int64), np.array(own, dtype=np.int64)])))
+    return levels
 
 
 def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int]]:
@@ -98,14 +116,14 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
         (a, m), (_, b) = spans[k], spans[k + 1]
         if min(count(a, m), count(m, b)) >= budget * SMALL:
             continue
-        for cuts in levels[:4]:
+        for cuts in levels[:-2]:
             near = [c for c in cuts[np.searchsorted(cuts, a, "right"):np.searchsorted(cuts, b)].tolist() if max(count(a, c), count(c, b)) <= budget]
             if near:
                 cut = min(near, key=lambda c: abs(count(a, c) - count(c, b)))
                 if min(count(a, cut), count(cut, b)) > min(count(a, m), count(m, b)):
                     spans[k], spans[k + 1] = (a, cut), (cut, b)
                     break
-    natural = np.unique(np.concatenate(levels[:4]))
+    natural = levels[-3]
     pieces = []
     for k, (a, b) in enumerate(spans):
         early = a

@@ -42,6 +42,16 @@ def test_cuts_fall_on_natural_boundaries():
         assert text[a - 1] in "\n " and text[:a].rstrip()[-1] in ".%w"
 
 
+def test_deeper_headings_and_items_are_opened_later():
+    body = "The officer reviews the clause and reports back. " * 6
+    text = "".join(f"# Part {p}\n{body}\n" + "".join(f"## Section {p}.{q}\n{body}\n" for q in range(3)) for p in range(4))
+    cuts = [a for _, a, _ in split_text(text, 260, 0)[1:]]  # a part has some 240 tokens
+    assert cuts and all(text[a:].startswith("# Part") for a in cuts)
+    items = "".join(f"- item {i} of the list with some more words\n" + "".join(f"    - part {j} of it with words\n" for j in range(3)) for i in range(30))
+    cuts = [a for _, a, _ in split_text(items, 120, 0)[1:]]
+    assert cuts and all(items[a:].startswith("- item") for a in cuts)
+
+
 def test_text_without_boundaries():
     text = "x" * 30 + " " + "-" * 5000
     assert [len(_TOKEN.findall(text[e:b])) <= 1400 for e, _, b in split_text(text)] and "".join(text[a:b] for _, a, b in split_text(text)) == text
