@@ -15,16 +15,21 @@ from gradewright.scratch import Scratch
 from gradewright.skew import lookup
 
 #: Opponents' strengths are binned to 1 / STEP logits within -REACH to REACH; an error far below any standard error.
-STEP, REACH = 64, 8
+STEP, REACH = 64, 16
 #: Contests that everyone is taken to have won, and to have lost, against a player of strength 0.
 PRIOR = 1.0
-#: Rounds at most, and the mean change of strengths at which they end.
-ROUNDS, CHANGE = 8, 0.01
+#: Rounds at most, and the mean change of strengths at which they end; the change of the last round is reported.
+ROUNDS, CHANGE = 60, 0.01
+#: Steps of minorisation-maximisation before the rest of the way, where it only crawls, is halved.
 _INNER = 60
 
 
 def _fit_batches(prior: float):
-    """One player's strength, opponents given: MM steps until they stand still, and the curvature there."""
+    """One player's strength, opponents given: MM steps until they stand still, and the curvature there.
+
+    A player who won almost all contests moves by a fixed small share a step. What still moves after _INNER steps is finished by halving the interval
+    in which the likelihood's slope, which MM drives to zero, changes its sign; so the fit is reached whatever the counts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -42,6 +47,14 @@ def _fit_batches(prior: float):
                 own = new
                 if still:
                     break
+            else:
+                slope = lambda x: wins - x * (np.bincount(row, games / (x[row] + other), len(n)) + 2 * prior / (x + 1))  # noqa: B023,E731
+                low, high = np.full(len(n), -2.0 * REACH), np.full(len(n), 2.0 * REACH)
+                for _ in range(40):
+                    mid = (low + high) / 2
+                    up = slope(np.exp(mid)) > 0
+                    low, high = np.where(up, mid, low), np.where(up, high, mid)
+                own = np.exp((low + high) / 2)
             p, q = own[row] / (own[row] + other), own / (own + 1)
             curve = np.bincount(row, games * p * (1 - p), len(n)) + 2 * prior * q * (1 - q)
             yield pa.RecordBatch.from_arrays(
@@ -70,12 +83,14 @@ def _half(pairs: DataFrame, key: str, other: str, won: str, strengths: DataFrame
 
 
 def rank_questions(attempts: DataFrame, prior: float = PRIOR, rounds: int = ROUNDS, change: float = CHANGE) -> DataFrame:
-    """(question_id, rank, strength, se, games, wins, one_sided, component): all questions, strongest first.
+    """(question_id, rank, strength, se, games, wins, one_sided, component, last_change): all questions, strongest first.
 
     Every attempt is a contest of learner and question; the question wins if the answer is wrong. Strengths are those of
     a regularised logistic paired-comparison model. Contests are summed to win counts per pair, then the two sides are fitted in turn, each by
     minorisation-maximisation with the other side's strengths given, until they change by less than ``change`` on average;
     the first round starts from the questions' mean q_rating_before. se comes from the curvature at the fit, prior included.
+    It takes the opponents' strengths as known, so it is too small for questions met by few learners.
+    last_change is the mean change of the last round, below ``change`` unless ``rounds`` ended the fit.
     one_sided: all wins or all losses, where only the prior keeps the strength finite. component: questions of different
     components never met a common chain of learners, so only the prior makes their strengths comparable; it is named by one of its players.
 
@@ -100,6 +115,7 @@ def rank_questions(attempts: DataFrame, prior: float = PRIOR, rounds: int = ROUN
     )
     questions = scratch.write(start)
     slim = pairs.select("player", "question", "n", "win", "loss")
+    moved = None
     for _ in range(rounds):
         learners = scratch.write(_half(slim, "player", "question", "win", questions, prior))
         fitted = scratch.write(_half(slim, "question", "player", "loss", learners, prior))
@@ -114,8 +130,8 @@ def rank_questions(attempts: DataFrame, prior: float = PRIOR, rounds: int = ROUN
     hub = scratch.write(hub)
     links = lookup(slim.select("player", "question"), hub, "question").select("player", "hub").distinct()
     parts = consolidate(links).select(F.col("node").alias("hub"), F.col("group_id").alias("component"))
-    named = lookup(hub.select("question", "hub"), hub.groupBy("hub").agg(F.count("*").alias("cnt")).join(parts, "hub"), "hub").select(F.col("question").alias("key"), "component")
+    named = lookup(hub.select("question", "hub"), scratch.write(hub.groupBy("hub").agg(F.count("*").alias("cnt")).join(parts, "hub")), "hub").select(F.col("question").alias("key"), "component")
     out = questions.join(named, "key").select(
-        F.col("key").alias("question_id"), "strength", "se", "games", "wins", ((F.col("wins") == 0) | (F.col("wins") == F.col("games"))).alias("one_sided"), "component"
+        F.col("key").alias("question_id"), "strength", "se", "games", "wins", ((F.col("wins") == 0) | (F.col("wins") == F.col("games"))).alias("one_sided"), "component", F.lit(moved).cast("double").alias("last_change")
     )
     return global_rank(out, [F.desc("strength"), F.asc("question_id")])

@@ -41,9 +41,16 @@ def test_ranking_recovers_strengths(spark):
 def test_few_contests_stay_near_the_middle_with_wide_errors(spark):
     rows = [(i, f"u{i % 7}", 1, i % 2 == 0, 0.0, 0.0) for i in range(200)] + [(900, "u1", 2, False, 0.0, 0.0)]
     got = {r.question_id: r for r in rank_questions(spark.createDataFrame(rows, _SCHEMA)).collect()}
+    assert all(r.last_change < 0.01 for r in got.values())
     assert got[2].one_sided and not got[1].one_sided and 0 < got[2].strength < 2 and got[2].se > 3 * got[1].se
 
 
+def test_one_sided_players_are_fitted_to_the_end(spark):
+    rows = [(i, f"u{i % 50}", 1, False, 0.0, 0.0) for i in range(4000)] + [(5000 + i, f"u{i % 50}", 2 + i % 3, i % 2 == 0, 0.0, 0.0) for i in range(3000)]
+    got = {r.question_id: r for r in rank_questions(spark.createDataFrame(rows, _SCHEMA)).collect()}
+    assert got[1].rank == 1 and got[1].one_sided and got[1].strength > 3 and got[1].last_change < 0.01
+
+
 def test_components_nulls_and_empty(spark):
     rows = [(1, "a", 1, True, None, None), (2, "a", 2, False, None, None), (3, "b", 3, True, 0.5, None), (4, None, 4, True, 0.51, None), (5, None, 5, False, 0.49, 0.1), (6, None, 6, True, None, None), (7, "a", None, True, None, None), (8, "a", 8, None, None, None), (None, "a", 9, True, None, None)]
     got = {r.question_id: r.component for r in rank_questions(spark.createDataFrame(rows, _SCHEMA)).collect()}
