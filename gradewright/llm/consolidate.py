@@ -28,7 +28,7 @@ def consolidate(links: DataFrame, max_frontiers: int = MAX_FRONTIERS) -> DataFra
     """(node, group_id) for every node on a link; group_id is the smallest node reachable.
 
     The vertex of highest degree most likely lies in the giant component. Breadth-first frontiers, each a join with the
-    links not yet used, peel that component; it is anti-joined away and the small components that stay are labelled
+    links left (written anew whenever half of the nodes are reached), peel that component; it is anti-joined away and the small components that stay are labelled
     by minimum propagation with shortcuts (a node also takes its label's label), so a chain of n needs about
     log n rounds. Should the first component be so long that its frontiers don't end, what they reached is
     contracted into one vertex and the propagation finishes it: the result is the same.
@@ -40,12 +40,13 @@ def consolidate(links: DataFrame, max_frontiers: int = MAX_FRONTIERS) -> DataFra
     src, dst = links.columns[:2]
     pairs = links.select(F.col(src).alias("u"), F.col(dst).alias("v")).dropna()
     both = scratch.write(pairs.union(pairs.select("v", "u")).toDF("u", "v").distinct())
-    start = both.groupBy("u").count().orderBy(F.desc("count"), "u").limit(1)
+    degree = scratch.write(both.groupBy("u").count())
+    start = degree.orderBy(F.desc("count"), "u").limit(1)
 
     seen = scratch.write(start.select("u"))
     frontier, rounds = seen, 0
     waves = [seen]
-    left = both
+    left, n_left, n_used, done = both, degree.count(), 0, 0
     while rounds < max_frontiers:
         reached = left.join(frontier, "u").select(F.col("v").alias("u")).distinct()
         for wave in waves[-2:]:  # neighbours of a wave lie in it, before it or behind it
@@ -55,6 +56,13 @@ def consolidate(links: DataFrame, max_frontiers: int = MAX_FRONTIERS) -> DataFra
         if frontier.isEmpty():
             break
         waves.append(frontier)
+        # Links of waves gone by are not read for ever: what is left is written anew whenever half of the nodes left are reached.
+        n_used += frontier.count()
+        if 2 * n_used > n_left:
+            for wave in waves[done:-1]:
+                left = left.join(wave, "u", "left_anti")
+            left, done = scratch.write(left), len(waves) - 1
+            n_left, n_used = n_left - n_used, 0
     else:
         rounds = -1
     giant = waves[0]

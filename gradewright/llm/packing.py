@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,9 +32,9 @@ def _encoding(path: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _count_batches(path: str):
+def _count_batches(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(path).encode_ordinary
+        encode = _encoding(SparkFiles.get(name)).encode_ordinary
         for batch in batches:
             n = [len(encode(t.as_py())) if t.is_valid else 0 for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
@@ -41,8 +43,9 @@ def _count_batches(path: str):
 
 
 def count_tokens(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, n_tokens) of every row, by the tokenizer's ranks file; null and empty texts have 0."""
-    return documents.select("doc_id", "text").mapInArrow(_count_batches(tokenizer), "doc_id long, n_tokens long")
+    """(doc_id, n_tokens) of every row, by the tokenizer's ranks file, which Spark brings to the executors; null and empty texts have 0."""
+    documents.sparkSession.sparkContext.addFile(tokenizer)
+    return documents.select("doc_id", "text").mapInArrow(_count_batches(os.path.basename(tokenizer)), "doc_id long, n_tokens long")
 
 
 def best_two_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
