@@ -14,10 +14,12 @@ MAX_FRONTIERS = 30
 
 def star_links(keys: DataFrame, id_col: str, *key_cols: str) -> DataFrame:
     """(src, dst): each member of a key linked to the key's smallest member, instead of all pairs of a key."""
+    scratch = Scratch(keys.sparkSession, "stars")
+    keys = scratch.write(keys.select(id_col, *key_cols))  # read three times below
     low = keys.groupBy(*key_cols).agg(F.min(id_col).alias("dst"), F.max(id_col).alias("_hi"), F.count("*").alias("cnt")).filter(F.col("dst") < F.col("_hi"))
     tag = F.xxhash64(*key_cols)
     # The tag only places the rows; the key columns themselves are compared.
-    named = low.select(tag.alias("_tag"), *[F.col(c).alias(f"_{c}") for c in key_cols], "dst", "cnt")
+    named = scratch.write(low.select(tag.alias("_tag"), *[F.col(c).alias(f"_{c}") for c in key_cols], "dst", "cnt"))
     rows = lookup(keys.withColumn("_tag", tag), named, "_tag")
     for c in key_cols:
         rows = rows.filter(F.col(c) == F.col(f"_{c}"))
@@ -39,7 +41,8 @@ def consolidate(links: DataFrame, max_frontiers: int = MAX_FRONTIERS) -> DataFra
     scratch = Scratch(spark, "consolidate")
     src, dst = links.columns[:2]
     pairs = links.select(F.col(src).alias("u"), F.col(dst).alias("v")).dropna()
-    both = scratch.write(pairs.union(pairs.select("v", "u")).toDF("u", "v").distinct())
+    ways = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
+    both = scratch.write(pairs.select(ways.alias("x")).select("x.u", "x.v").distinct())
     degree = scratch.write(both.groupBy("u").count())
     start = degree.orderBy(F.desc("count"), "u").limit(1)
 
@@ -131,11 +134,12 @@ def draft_matches(drafts: DataFrame, min_keywords: int = 2) -> DataFrame:
         drafts.select("course_id", "concept_id", F.explode(pages).alias("page"), words.alias("words"))
         .filter(F.size("words") >= 2).select("course_id", "concept_id", "page", F.explode("words").alias("word"))
     )
+    scratch = Scratch(drafts.sparkSession, "matches")
+    spread = scratch.write(spread)
     counts = spread.groupBy("course_id", "page", "word").agg(F.count("*").alias("cnt")).filter("cnt > 1")
     tag = F.xxhash64("course_id", "page", "word")
-    kept = lookup(
-        spread.withColumn("_tag", tag), counts.select(tag.alias("_tag"), F.col("course_id").alias("c"), F.col("page").alias("p"), F.col("word").alias("w"), "cnt"), "_tag"
-    ).filter("c = course_id and p = page and w = word")
+    named = scratch.write(counts.select(tag.alias("_tag"), F.col("course_id").alias("c"), F.col("page").alias("p"), F.col("word").alias("w"), "cnt"))
+    kept = lookup(spread.withColumn("_tag", tag), named, "_tag").filter("c = course_id and p = page and w = word")
     own = kept.groupBy("course_id", "page", "concept_id").agg(F.array_sort(F.collect_set("word")).alias("ws")).filter(F.size("ws") >= 2)
     first = own.select("course_id", "page", "concept_id", "ws", F.posexplode("ws").alias("i", "w1"))
     keys = first.select("course_id", "page", "concept_id", "w1", F.explode(F.expr("slice(ws, i + 2, size(ws))")).alias("w2"))
