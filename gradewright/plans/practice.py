@@ -225,6 +225,12 @@ SELECT course_id, chapter_id, round(CASE WHEN ordinal = 1 THEN 0.1::DOUBLE ELSE
     "desirable_pick": _Q + """, x AS (
   SELECT la.concept_id, la.user_id, q.question_id, round(q.q_rating, 6) AS v, abs(round(q.q_rating, 6) - round(theta + 0.3::DOUBLE, 6)) AS gap FROM la JOIN qs q USING (concept_id) WHERE la.user_id IS NOT NULL AND q.q_rating IS NOT NULL
 ) SELECT concept_id, user_id, question_id, round(gap, 6) AS gap FROM (SELECT *, row_number() OVER (PARTITION BY concept_id, user_id ORDER BY round(gap, 9), v, question_id) AS r FROM x) WHERE r = 1""",
+    "chunk_batches": r"""WITH c AS (SELECT DISTINCT ON (chunk_id) chunk_id, course_id, coalesce(len(regexp_extract_all(content, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')), 0)::BIGINT AS n FROM chunks),
+e AS (SELECT course_id, chunk_id, {'id': chunk_id, 'n': n, 'b': 0::BIGINT, 's': 0::BIGINT, 'out': []::STRUCT(id BIGINT, b BIGINT)[]} AS e FROM c),
+f AS (SELECT course_id, list_reduce(list_prepend({'id': NULL::BIGINT, 'n': 0::BIGINT, 'b': 0::BIGINT, 's': 0::BIGINT, 'out': []::STRUCT(id BIGINT, b BIGINT)[]}, list(e ORDER BY chunk_id)),
+  lambda a, x: CASE WHEN len(a.out) > 0 AND a.s + x.n > 6000 THEN {'id': x.id, 'n': x.n, 'b': a.b + 1, 's': x.n, 'out': list_append(a.out, {'id': x.id, 'b': a.b + 1})}
+    ELSE {'id': x.id, 'n': x.n, 'b': a.b, 's': a.s + x.n, 'out': list_append(a.out, {'id': x.id, 'b': a.b})} END).out AS out FROM e GROUP BY course_id)
+SELECT grp, o.id AS id, o.b AS batch FROM (SELECT course_id AS grp, unnest(out) AS o FROM f)""",
     "concept_rings": _Q + """, i AS (SELECT chapter_id, concept_id AS id, row_number() OVER (PARTITION BY chapter_id ORDER BY concept_id) - 1 AS i, count(*) OVER (PARTITION BY chapter_id) AS n FROM dr WHERE chapter_id IS NOT NULL)
 SELECT chapter_id, i // 4 AS ring, i % 4 AS place, id FROM i
 UNION ALL SELECT chapter_id, ceil(n / 4)::BIGINT - 1, (4 - (ceil(n / 4)::BIGINT * 4 - n) + i), id FROM i WHERE n > 4 AND i < ceil(n / 4)::BIGINT * 4 - n""",
