@@ -188,7 +188,7 @@ class NearDuplicates:
         alone = bits.join(df, "key", "left_anti").groupBy("rid").agg(F.count("*").alias("alone"))
         need = F.floor(F.col("n") * (self.den - self.num) / self.num) + 1 - F.coalesce("alone", F.lit(0))
         order = Window.partitionBy("rid").orderBy("df", "key")
-        prefix = ranked.join(alone, "rid", "left").withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= need)
+        prefix = self.scratch.write(ranked.join(alone, "rid", "left").withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= need).select("key", "rid", "n", "df"))
         listed = self._listed(prefix.filter(F.col("df") <= few).select("key", "rid", F.col("n").cast("int").alias("n")))
         parts = F.ceil(F.col("df") / block).cast("int")
         placed = prefix.filter(F.col("df") > few).select("key", "rid", parts.alias("parts"), F.pmod(F.xxhash64("rid", "key"), parts).cast("int").alias("block"))

@@ -76,6 +76,11 @@ FROM w LEFT JOIN (SELECT rec_table, rec_id, sum(last_word - first_word + 1) AS n
 SELECT DISTINCT chunk_id FROM chunks
 WHERE len(regexp_extract_all(content, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) > 1400""",
     "p4_found": _P4 + "SELECT rec_table, id_a, id_b FROM pairs",
+    "p4_groups": _P4 + """, hs AS (SELECT rec_table, id, string_agg(s, '|' ORDER BY s) AS h FROM sh GROUP BY 1, 2),
+l AS (SELECT rec_table, id_a AS x, id_b AS y FROM pairs UNION ALL SELECT rec_table, id_b, id_a FROM pairs),
+r AS (SELECT rec_table, id, id AS o FROM hs UNION SELECT r.rec_table, r.id, l.y FROM r JOIN l ON l.rec_table = r.rec_table AND l.x = r.o),
+nn AS (SELECT l.rec_table, l.x AS id, count(DISTINCT b.h) AS links FROM l JOIN hs a ON a.rec_table = l.rec_table AND a.id = l.x JOIN hs b ON b.rec_table = l.rec_table AND b.id = l.y WHERE a.h <> b.h GROUP BY 1, 2)
+SELECT r.rec_table, r.id AS rec_id, min(o) AS group_id, coalesce(any_value(links), 0)::BIGINT AS links FROM r LEFT JOIN nn ON nn.rec_table = r.rec_table AND nn.id = r.id GROUP BY r.rec_table, r.id""",
     "p9_found": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL),
 i AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM eval_items WHERE text IS NOT NULL),
