@@ -179,3 +179,33 @@ def misconception_fold(attempts: DataFrame) -> DataFrame:
     )
     is_open = F.col("opened").isNotNull() & (F.col("cleared").isNull() | (F.col("opened") > F.col("cleared")))
     return state.select("user_id", "concept_id", F.when(is_open, F.when(F.col("last.proves"), 2).otherwise(1)).otherwise(0).alias("flag"))
+
+
+def learner_states(attempts: DataFrame) -> DataFrame:
+    """(user_id, concept_id, theta, seen, n, stability, flag): the last ability and time, the number of attempts, and what stability_fold and misconception_fold give, in one pass.
+
+    Needs (user_id, concept_id, theta_after, factor, correct, confidence, created_at, attempt_id). Attempts with a null outcome count in n, seen and theta only.
+    """
+    rows, within, over = _days(attempts.select("user_id", "concept_id", "theta_after", "factor", "correct", "confidence", "created_at", "attempt_id"))
+    sure, at = F.coalesce(F.col("confidence") == "sure", F.lit(False)), F.struct("created_at", "attempt_id")
+    proves = F.when(F.col("correct") & sure, True).when(~F.col("correct"), False)
+    rows = rows.withColumns({"at": at, "proves": proves, "g": F.sum(F.coalesce(F.log("factor"), F.lit(0.0))).over(within)})
+    rows = rows.withColumn("before", F.last("proves", ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, -1)))
+    told = F.col("proves").isNotNull()
+    daily = rows.groupBy("user_id", "concept_id", "day").agg(
+        F.max(F.struct("at", "g", "theta_after")).alias("end"), F.min("g").alias("low"), F.count("*").alias("n"),
+        F.max(F.when(~F.col("correct") & sure, F.col("at"))).alias("opened"), F.max(F.when(F.col("proves") & F.col("before"), F.col("at"))).alias("cleared"),
+        F.min(F.when(told, F.struct("at", "proves"))).alias("first"), F.max(F.when(told, F.struct("at", "proves"))).alias("last"),
+    )
+    upto = F.sum("end.g").over(over)
+    earlier = F.last("last.proves", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1))
+    days = daily.withColumns({"sum": upto, "low": F.col("low") + upto - F.col("end.g"), "cleared": F.greatest("cleared", F.when(F.col("first.proves") & earlier, F.col("first.at")))})
+    state = days.groupBy("user_id", "concept_id").agg(
+        F.max(F.struct("end.at", "sum", "end.theta_after")).alias("end"), F.min("low").alias("low"), F.sum("n").alias("n"), F.max("opened").alias("opened"), F.max("cleared").alias("cleared"), F.max("last").alias("last"),
+    )
+    is_open = F.col("opened").isNotNull() & (F.col("cleared").isNull() | (F.col("opened") > F.col("cleared")))
+    return state.select(
+        "user_id", "concept_id", F.col("end.theta_after").alias("theta"), F.col("end.at.created_at").alias("seen"), "n",
+        F.exp(F.col("end.sum") + F.greatest(F.lit(0.0), F.lit(math.log(C.STABILITY_MIN)) - F.col("low"))).alias("stability"),
+        F.when(is_open, F.when(F.col("last.proves"), 2).otherwise(1)).otherwise(0).alias("flag"),
+    )

@@ -143,16 +143,11 @@ def discrimination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Priorities from each state's replayed stability and misconception flag, as in replay_stability and misconception_flags."""
-    rows = attempts(spark, sf_dir, "user_id", "concept_id", "theta_after", "created_at")
-    now = rows.agg(F.max("created_at")).scalar()
-    key = lambda df, *c: df.select(F.coalesce("user_id", F.lit("")).alias("u"), F.col("user_id").isNull().alias("nu"), "concept_id", *c)
-    state = rows.groupBy("user_id", "concept_id").agg(
-        F.max_by("theta_after", F.struct("created_at", "attempt_id")).alias("theta"), F.max("created_at").alias("seen"), F.count("*").alias("n")
-    )
-    joined = key(state, "user_id", "theta", "seen", "n").join(key(fold.stability_fold(_factors(spark, sf_dir)), "stability"), ["u", "nu", "concept_id"], "left")
-    joined = joined.join(key(misconception_flags(spark, sf_dir), "flag"), ["u", "nu", "concept_id"], "left")
-    stability, flag = F.coalesce("stability", F.lit(1.0)), F.coalesce("flag", F.lit(0)) > 0
-    return joined.select("user_id", "concept_id", F.round(L.priority(F.col("theta"), stability, L.days_between(now, F.col("seen")), flag, F.col("n")), 6).alias("priority"))
+    rows = attempts(spark, sf_dir, "user_id", "concept_id", "theta_after", "created_at", "correct", "confidence")
+    now = read(spark, sf_dir, "attempt_outcomes").agg(F.max("created_at")).scalar()
+    factor = F.when(F.col("correct").isNotNull(), L.stability_factor(F.col("theta_after"), F.col("correct"), F.col("confidence")))
+    state = fold.learner_states(rows.withColumn("factor", factor))
+    return state.select("user_id", "concept_id", F.round(L.priority(F.col("theta"), F.col("stability"), L.days_between(now, F.col("seen")), F.col("flag") > 0, F.col("n")), 6).alias("priority"))
 
 
 def priority_rank(spark: SparkSession, sf_dir: str) -> DataFrame:

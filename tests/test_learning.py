@@ -92,6 +92,14 @@ def test_folds_of_built_ins_equal_the_steps(spark):
     got = {(r.user_id, r.concept_id): (round(r.stability, 9), r.n) for r in fold.stability_fold(df).collect()}
     assert got == {k: (round(s, 9), n) for k, (s, n) in stable.items()}
     assert {(r.user_id, r.concept_id): r.flag for r in fold.misconception_fold(df).collect()} == flags
+    states = fold.learner_states(df.withColumn("theta_after", F.col("attempt_id").cast("double")).withColumn("factor", F.when(F.col("correct").isNotNull(), F.col("factor"))))
+    by_time = sorted(rows, key=lambda r: (r[5], r[0]))
+    for r in states.collect():
+        own = [x for x in by_time if (x[1], x[2]) == (r.user_id, r.concept_id)]
+        s = 1.0
+        for x in own:
+            s = max(C.STABILITY_MIN, s * x[6]) if x[6] is not None and x[3] is not None else s
+        assert (r.theta, r.seen, r.n, r.flag, round(r.stability, 9)) == (own[-1][0], own[-1][5], len(own), flags[r.user_id, r.concept_id], round(s, 9))
     for limit in (1_000, 70):
         assert {(r.user_id, r.concept_id): (round(r.theta, 9), r.n) for r in fold.seed_fold(df, limit).collect()} == {k: (round(t, 9), n) for k, (t, n) in seeds.items()}
 
