@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -21,6 +22,8 @@ from gradewright.skew import lookup
 QUERY_BLOCK = 4096
 #: What a copy of a vector in a table costs, in comparisons.
 COPY_COST = 1_000
+#: Cosines as near as this to a threshold are decided without the rounding of scaled vectors.
+ROUNDING = 1e-9
 
 
 def hashed_embedding(dim: int):
@@ -53,13 +56,19 @@ def dimension_rejects(rows: DataFrame, dim: int) -> DataFrame:
     return rows.select("id", reason.alias("reason")).filter("reason is not null")
 
 
-def _matrix(vectors: pa.Array) -> np.ndarray:
-    """Rows scaled to length 1; zero rows stay zero."""
+def _raw(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and their lengths; zero rows have length 1."""
     n = len(vectors)
     flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     m = flat.reshape(n, -1) if n else np.empty((0, 0))
-    norm = np.linalg.norm(m, axis=1, keepdims=True) if n else np.ones((0, 1))
-    return m / np.where(norm == 0, 1, norm)
+    norm = np.linalg.norm(m, axis=1) if n else np.ones(0)
+    return m, np.where(norm == 0, 1, norm)
+
+
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """Rows scaled to length 1; zero rows stay zero."""
+    m, norm = _raw(vectors)
+    return m / norm[:, None]
 
 
 def _keyed(rows: DataFrame, within: str | None) -> DataFrame:
@@ -135,16 +144,43 @@ def table_plan(n: int, min_cos: float, recall: float) -> tuple[int, int]:
     return best
 
 
+def _exact_to(min_cos: float, recall: float) -> int:
+    """The most vectors that table_plan() compares all with all."""
+    return bisect.bisect_left(range(1 << 30), True, lo=1, key=lambda n: table_plan(n, min_cos, recall)[0] > 0) - 1
+
+
+def _reaching(m: np.ndarray, norm: np.ndarray, left: np.ndarray, right: np.ndarray, min_cos: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of left and right with cosine >= min_cos. Near the threshold, dot / (length * length) decides, which rounds no count."""
+    cos = (m[left] / norm[left, None]) @ (m[right] / norm[right, None]).T
+    x, y = np.nonzero(cos >= min_cos - ROUNDING)
+    sure = cos[x, y] >= min_cos + ROUNDING
+    unsure = np.flatnonzero(~sure)
+    for at in np.array_split(unsure, len(unsure) // 100_000 + 1):
+        a, b = left[x[at]], right[y[at]]
+        sure[at] = np.einsum("ij,ij->i", m[a], m[b]) / (norm[a] * norm[b]) >= min_cos
+    return left[x[sure]], right[y[sure]]
+
+
 def near_links(rows: DataFrame, min_cos: float, within: str | None = None, recall: float = 0.999, block: int = 2048, seed: int = 7, plan: tuple[int, int] | None = None) -> DataFrame:
     """(u, v), u < v: pairs of rows (id, embedding[, within]) with cosine >= min_cos.
 
-    Random hyperplanes sign each vector in several tables; vectors of equal signs in one are compared exactly. Bits and tables follow from the number of
-    rows and the wanted recall at ``min_cos`` (pairs above are found more surely); where comparing all with all costs less, there are no bits and the result is exact. Buckets are cut
+    The rows of one value of ``within`` are compared all with all, which is exact, where that costs less than tables; values of few rows share a task. For the others,
+    random hyperplanes sign each vector in several tables; vectors of equal signs in one are compared exactly. Bits and tables follow from the rows of the largest
+    value and the wanted recall at ``min_cos`` (pairs above are found more surely); where the signs turn out to tell too little apart, all are compared with all after all. Buckets are cut
     into blocks that meet pairwise, so a hot bucket is spread, and only true links leave a task. Null vectors are left out; zero vectors link to nothing.
     """
     scratch = Scratch(rows.sparkSession, "links")
     rows = scratch.write(_keyed(rows, within).dropDuplicates(["id"]))
-    bits, tables = plan or table_plan(rows.count(), min_cos, recall)
+    exact_to = (1 << 62 if not plan[0] else 0) if plan else _exact_to(min_cos, recall)
+    own = scratch.write(rows.groupBy("w").agg(F.count("*").alias("n")).withColumn("tabled", F.col("n") > exact_to))
+    most, few = own.agg(F.max("n"), F.sum(F.when(F.col("n") <= block, F.col("n")))).first()
+    cells = math.ceil((few or 0) / block) or 1
+
+    def spread(placed: DataFrame) -> DataFrame:
+        """Rows (key, g, n) of n that meet under a key, once for each pair of blocks i, j that their own block b is in."""
+        cut = placed.withColumn("parts", F.ceil(F.col("n") / block).cast("int")).withColumn("b", F.pmod(F.xxhash64("id", "key"), F.col("parts")).cast("int"))
+        cut = cut.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        return cut.select("key", "g", "w", "id", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), *[c for c in placed.columns if c == "embedding"])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = None
@@ -159,25 +195,35 @@ def near_links(rows: DataFrame, min_cos: float, within: str | None = None, recal
             at = pa.array(np.repeat(np.arange(len(m)), tables))
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), batch.column("id").take(at), batch.column("w").take(at)], ["key", "id", "w"])
 
-    keys = rows.select(F.lit(0).cast("long").alias("key"), "id", "w") if not bits else rows.mapInArrow(sign, "key long, id long, w long")
-    keys = scratch.write(keys)
-    sizes = keys.groupBy("key", "w").agg(F.count("*").alias("n")).filter("n > 1")
-    parts = F.ceil(F.col("n") / block).cast("int")
-    placed = keys.join(sizes, ["key", "w"]).withColumn("parts", parts).withColumn("b", F.pmod(F.xxhash64("id", "key"), F.col("parts")).cast("int"))
-    spread = placed.select("key", "w", "id", "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
-    met = spread.join(rows.select("id", "embedding"), "id").select("key", "w", "id", "b", "embedding", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        ids, b = pdf["id"].to_numpy(), pdf["b"].to_numpy()
-        m = _matrix(pa.array(list(pdf["embedding"]), pa.list_(pa.float64())))
-        left, right = np.flatnonzero(b == i), np.flatnonzero(b == j)
-        x, y = np.nonzero(m[left] @ m[right].T >= min_cos)
-        u, v = ids[left[x]], ids[right[y]]
-        keep = u != v
-        return pd.DataFrame({"u": np.minimum(u, v)[keep], "v": np.maximum(u, v)[keep]}).drop_duplicates()
-
-    return scratch.write(met.groupBy("key", "w", "i", "j").applyInPandas(compare, "u long, v long").distinct())
+    def compare(group: pa.Table) -> pa.Table:
+        i, j = group["i"][0].as_py(), group["j"][0].as_py()
+        ids, b, w = (group[c].to_numpy() for c in ("id", "b", "w"))
+        m, norm = _raw(group["embedding"].combine_chunks())
+        found = [np.empty((2, 0), dtype=np.int64)]
+        for each in np.unique(w):
+            at = np.flatnonzero(w == each)
+            x, y = _reaching(m, norm, at[b[at] == i], at[b[at] == j], min_cos)
+            keep = ids[x] < ids[y] if i == j else ids[x] != ids[y]
+            found.append(np.sort([ids[x[keep]], ids[y[keep]]], axis=0))
+        u, v = np.hstack(found)
+        return pa.table({"u": u, "v": v})
+
+    met = None
+    if (most or 0) > exact_to:
+        bits, tables = plan or table_plan(most, min_cos, recall)
+        keys = scratch.write(rows.join(own.filter("tabled").select("w"), "w", "left_semi").mapInArrow(sign, "key long, id long, w long"))
+        sizes = keys.groupBy("key", "w").agg(F.count("*").alias("n")).filter("n > 1")
+        if not plan:
+            cost = sizes.groupBy("w").agg(F.sum(F.col("n") * (F.col("n") + COPY_COST).cast("double")).alias("cost"))
+            own = scratch.write(own.join(cost, "w", "left").select("w", "n", (F.col("tabled") & (F.coalesce("cost", F.lit(0.0)) < F.col("n") * F.col("n").cast("double"))).alias("tabled")))
+            sizes = sizes.join(own.filter("tabled").select("w"), "w", "left_semi")
+        # Written vectors are small as files and large as rows, so a join by the size of files would send them all to the driver.
+        met = spread(keys.join(sizes, ["key", "w"]).withColumn("g", F.col("w"))).join(rows.select("id", "embedding").hint("merge"), "id")
+    shared = F.col("n") <= block
+    whole = rows.join(own.filter("not tabled").drop("tabled"), "w").withColumn("key", F.when(shared, -2).otherwise(-1).cast("long"))
+    whole = spread(whole.withColumn("g", F.when(shared, F.pmod("w", F.lit(cells))).otherwise(F.col("w"))))
+    met = whole if met is None else whole.unionByName(met)
+    return scratch.write(met.groupBy("key", "g", "i", "j").applyInArrow(compare, "u long, v long").distinct())
 
 
 def _copies(rows: DataFrame, within: str | None, scratch: Scratch) -> tuple[DataFrame, DataFrame]:

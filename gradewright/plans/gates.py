@@ -17,6 +17,7 @@ from gradewright.operators.vectors import accepted_in_turn
 from gradewright.plans import composition, learning, text, vectors
 from gradewright.plans.composition import mock_paper
 from gradewright.plans.learning import _drawn, _factors, _latest, attempts, questions
+from gradewright.scratch import Scratch
 from gradewright.tables import read
 
 
@@ -37,7 +38,7 @@ def gate_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     first = text.option_gate(spark, sf_dir).select("question_id", F.when(F.col("fault").isNotNull(), "structure").alias("g1"))
     lifted = text.bank_contamination(spark, sf_dir).select("question_id", F.lit("lift").alias("g4"))
-    early = first.join(lifted, "question_id", "left").select("question_id", F.coalesce("g1", "g4").alias("gate"))
+    early = Scratch(spark, "gates").write(first.join(lifted, "question_id", "left").select("question_id", F.coalesce("g1", "g4").alias("gate")))
     left = early.filter("gate is null").select(F.col("question_id").alias("id"))
     turn = accepted_in_turn(_stems(spark, sf_dir).join(left, "id", "left_semi"), C.DUPLICATE_COS, "course_id").filter("not accepted").select(F.col("id").alias("question_id"), F.lit("duplicate").alias("g5"))
     return early.join(turn, "question_id", "left").select("question_id", F.coalesce("gate", "g5").alias("gate"))

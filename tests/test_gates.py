@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from gradewright.functions.json import faults_of, schema_faults, setting
 from gradewright.functions.learning import card_factor
-from gradewright.operators.vectors import accepted_in_turn, rejected_in_turn
+from gradewright.operators import vectors
+from gradewright.operators.vectors import accepted_in_turn, near_links, rejected_in_turn
 from gradewright.plans.gates import eligible_counts, open_caselets
 from gradewright.plans.vectors import merged_concepts
 
@@ -77,3 +78,27 @@ def test_json_schema_and_settings(spark):
 def test_card_factors(spark):
     got = [r[0] for r in spark.createDataFrame([(1,), (2,), (3,), (4,), (None,)], "g int").select(card_factor(F.col("g"))).collect()]
     assert got[:3] == pytest.approx([0.35 / 1.6, 1.56, 1.8]) and got[3:] == [None, None]
+
+
+def test_links_within_small_parts_are_exact(spark, monkeypatch):
+    """The plan follows the largest part, not all rows: 600 rows in parts of 12 are compared all with all, even where 600 would have tables of low recall."""
+    monkeypatch.setattr(vectors, "COPY_COST", 30)
+    rng = np.random.default_rng(5)
+    m = np.repeat(rng.standard_normal((150, 16)), 4, axis=0) + 0.35 * rng.standard_normal((600, 16))
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    want = {(i, j) for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(u @ u.T >= 0.9, 1)))) if i // 12 == j // 12}
+    rows = spark.createDataFrame([(i, v.tolist(), i // 12) for i, v in enumerate(m)], "id long, embedding array<double>, part int")
+    assert vectors.table_plan(600, 0.9, 0.3)[0] > 0
+    for block in (2048, 5):
+        assert {(r.u, r.v) for r in near_links(rows, 0.9, "part", recall=0.3, block=block).collect()} == want
+    assert len(want) > 200
+
+
+def test_links_at_the_threshold_by_the_formula_of_the_sql(spark):
+    """Cosines of counts that are the threshold but for rounding: dot / (length * length) decides."""
+    over = [3.0, 1.0, 2.0, 2.0, 1.0, 2.0, 3.0, 2.0], [2.0, 2.0, 1.0, 1.0, 2.0, 1.0, 3.0, 1.0]
+    under = [0.0, 0.0, 2.0, 3.0, 1.0, 1.0, 2.0, 1.0], [1.0, 0.0, 1.0, 3.0, 2.0, 1.0, 2.0, 0.0]
+    cos = [np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b)) for a, b in (over, under)]
+    assert cos[0] >= 0.9 > cos[1] and abs(cos[0] - cos[1]) < 1e-9
+    rows = spark.createDataFrame([(k, v, k // 2) for k, v in enumerate([*over, *under])], "id long, embedding array<double>, part int")
+    assert [(r.u, r.v) for r in near_links(rows, 0.9, "part").collect()] == [(0, 1)]
