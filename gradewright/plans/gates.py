@@ -12,11 +12,12 @@ from gradewright.functions import learning as L
 from gradewright.functions.json import faults_of, setting
 from gradewright.functions.text import token_count
 from gradewright.operators import fold
+from gradewright.operators.draws import paper_scores
 from gradewright.operators.hierarchy import latest_rows
 from gradewright.operators.vectors import accepted_in_turn
 from gradewright.plans import composition, learning, text, vectors
 from gradewright.plans.composition import mock_paper
-from gradewright.plans.learning import _drawn, _factors, _latest, attempts, questions
+from gradewright.plans.learning import _factors, _latest, attempts, questions
 from gradewright.scratch import Scratch
 from gradewright.tables import read
 
@@ -97,26 +98,14 @@ def predicted_scores(spark: SparkSession, sf_dir: str, draws: int = 1000) -> Dat
     paper = mock_paper(spark, sf_dir).select("course_id", "question_id").join(bank.withColumn("section", section).drop("case_group_id"), "question_id")
     state = _latest(spark, sf_dir).filter("user_id is not null").select("user_id", "concept_id", "theta", "n")
     courses = latest_rows(read(spark, sf_dir, "concept_drafts").select("concept_id", "course_id", "updated_at"), "concept_id", "updated_at").select("concept_id", "course_id")
-    learners = state.join(courses, "concept_id").select("user_id", "course_id").distinct()
-    n = F.coalesce("n", F.lit(0))
-    items = learners.join(paper, "course_id").join(state, ["user_id", "concept_id"], "left").select(
-        "user_id", "course_id", "section", "question_id", "concept_id", "marks", F.col("q_rating").alias("q"), F.coalesce("theta", F.lit(0.0)).alias("theta"), (C.SE_BASE / F.sqrt(1.0 + n)).alias("se"), (n > 0).alias("met"),
-    )
-    keys = ["user_id", "course_id", "section"]
-    sets = [["user_id", "course_id"], keys]
-    p = L.logistic(F.col("theta") - F.col("q"))
-    sure = items.groupingSets(sets, *keys).agg(F.sum(L.expected_value(p, F.col("marks"))).alias("expected"), F.sum("marks").alias("out_of"), F.avg(F.col("met").cast("double")).alias("coverage"))
-    rows, right = _drawn(items.repartition(learning._width(spark), "user_id", "course_id"), ["user_id", "question_id"], ["user_id", "question_id"], draws)
-    mark = F.when(right == 1, F.col("marks")).when(right == 0, -C.NEGATIVE * F.col("marks")).otherwise(0.0)
-    scores = rows.groupBy(*keys, "b").agg(F.sum(mark).alias("score"), F.sum("marks").alias("of"))
-    by_draw = scores.groupingSets([[*s, "b"] for s in sets], *keys, "b").agg(F.sum("score").alias("score"), F.sum("of").alias("of"))
-    band = by_draw.groupBy(*keys).agg(
-        F.percentile("score", F.lit(C.INTERVAL[0])).alias("low"), F.percentile("score", F.lit(C.INTERVAL[1])).alias("high"), F.avg((F.col("score") >= C.PASS_SHARE * F.col("of")).cast("double")).alias("p_pass")
-    )
-    named = lambda df: df.withColumn("s", F.coalesce("section", F.lit("all"))).drop("section")
-    r = lambda c: F.round(c, 4).alias(c)
-    return named(sure).join(named(band), ["user_id", "course_id", "s"]).select(
-        "user_id", "course_id", F.col("s").alias("section"), r("expected"), r("out_of"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), r("p_pass"), r("coverage"), (F.col("coverage") < C.MIN_COVERAGE).alias("suppressed")
+    courses = courses.filter("course_id is not null").withColumn("own", F.lit(True))
+    asked = courses.unionByName(paper.select("concept_id", "course_id", F.lit(False).alias("own"))).groupBy("concept_id", "course_id").agg(F.max("own").alias("own"))
+    met = state.join(asked, "concept_id")
+    learners = met.filter("own").select("user_id", "course_id").distinct()
+    states = met.join(learners, ["user_id", "course_id"], "left_semi").select("user_id", "course_id", "concept_id", "theta", "n")
+    r = lambda c, digits=4: F.round(c, digits).alias(c)
+    return paper_scores(paper.withColumnRenamed("q_rating", "q"), states, draws).select(
+        "user_id", "course_id", "section", r("expected"), r("out_of"), r("low", 6), r("high", 6), r("p_pass"), r("coverage"), (F.col("coverage") < C.MIN_COVERAGE).alias("suppressed")
     )
 
 
