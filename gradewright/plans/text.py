@@ -94,7 +94,8 @@ def bank_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunk_words = _chunks(spark, sf_dir, "course_id", "content").select("course_id", X.words(F.col("content")).alias("w")).filter(F.size("w") >= C.NGRAM).repartition("course_id", F.hash("w"))
     stem_words = questions(spark, sf_dir, "course_id", "stem").select("question_id", "course_id", X.words(F.col("stem")).alias("w")).filter(F.size("w") >= C.NGRAM).repartition("question_id")
     known = runs(chunk_words, "course_id").groupBy("course_id", "gram").agg(F.count("*").alias("n")).drop("n")
-    hits = runs(stem_words, "question_id", "course_id").join(known, ["course_id", "gram"])
+    # Runs are many times the size that is estimated for them, so neither side may be sent to the driver by that estimate.
+    hits = runs(stem_words, "question_id", "course_id").join(known.hint("merge"), ["course_id", "gram"])
     return hits.groupBy("question_id").agg(F.min("gram").alias("first_gram"), F.count("*").alias("grams"))
 
 

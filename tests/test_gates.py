@@ -102,3 +102,11 @@ def test_links_at_the_threshold_by_the_formula_of_the_sql(spark):
     assert cos[0] >= 0.9 > cos[1] and abs(cos[0] - cos[1]) < 1e-9
     rows = spark.createDataFrame([(k, v, k // 2) for k, v in enumerate([*over, *under])], "id long, embedding array<double>, part int")
     assert [(r.u, r.v) for r in near_links(rows, 0.9, "part").collect()] == [(0, 1)]
+
+
+def test_runs_of_words_are_not_broadcast(spark):
+    """Exploded runs are far larger than estimated; their join takes no broadcast."""
+    from gradewright.plans.text import bank_contamination
+
+    plan = bank_contamination(spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
